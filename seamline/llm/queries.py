@@ -11,6 +11,7 @@ from .common import worker_path
 
 #: query: (module, SQL's name in it or None)
 OPERATORS = {
+    "op4_quality_rules": ("quality", "SQL"),
     "op3_harmonic_packing": ("packing", None),
 }
 
