@@ -12,6 +12,7 @@ from .common import worker_path
 #: query: (module, SQL's name in it or None)
 OPERATORS = {
     "op4_quality_rules": ("quality", "SQL"),
+    "op5_line_dedup": ("lines", "SQL"),
     "op3_harmonic_packing": ("packing", None),
 }
 
