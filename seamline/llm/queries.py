@@ -11,6 +11,7 @@ from .common import worker_path
 
 #: query: (module, SQL's name in it or None)
 OPERATORS = {
+    "op1_chat_formatting": ("chat", "SQL"),
     "op4_quality_rules": ("quality", "SQL"),
     "op5_line_dedup": ("lines", "SQL"),
     "op3_harmonic_packing": ("packing", None),
