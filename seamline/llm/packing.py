@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,34 +26,61 @@ class WordTokens:
     recur, so each is encoded once while it stays among the last ``most``.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.stops = pa.array([self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"], pa.uint32())
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+
+    def add(self, stems: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+        n = len(self.known)
+        ends = self.at[n] + np.cumsum([len(x) for x in ids], dtype=np.int64)
+        while len(self.at) < n + len(stems) + 1:
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(self.pool) < ends[-1]:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.at[n] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32)
+        self.at[n + 1 : n + 1 + len(stems)] = ends
+        self.known.update(zip(stems, range(n, n + len(stems))))
+
+    def entries(self, stems: list[str]) -> np.ndarray:
+        if len(self.known) + len(stems) > self.most:
+            self.clear()
+        if new := [w for w in stems if w not in self.known]:
+            self.add(new)
+        return np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of them that each text has."""
         rows, word, distinct = words_of(texts)
-        names = distinct.to_pylist()
-        if len(self.known) + len(names) > self.most:
-            self.clear()
-        if new := [w for w in names if w not in self.known]:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.pool = np.concatenate([self.pool, np.fromiter((i for ids in found for i in ids), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
-        entry = np.fromiter((self.known[w] for w in names), np.int64, len(names))[word]
-        sizes = self.at[entry + 1] - self.at[entry]
-        total = int(sizes.sum())
-        first = np.cumsum(sizes) - sizes
-        ids = self.pool[np.repeat(self.at[entry] - first, sizes) + np.arange(total)]
-        return ids, np.bincount(rows, weights=sizes, minlength=len(texts)).astype(np.int64)
+        # A lone full stop or comma after letters is a token by itself, and case is dropped: fewer words to encode.
+        body = pc.utf8_slice_codeunits(distinct, 0, -1)
+        stop = np.asarray(pc.ends_with(distinct, ".")).astype(np.int8) + 2 * np.asarray(pc.ends_with(distinct, ",")).astype(np.int8)
+        stop *= np.asarray(pc.utf8_is_alpha(body)).astype(np.int8)
+        stem = pc.if_else(pa.array(stop > 0), body, distinct)
+        stem = pc.if_else(pc.ascii_is_alpha(stem), pc.ascii_lower(stem), stem).dictionary_encode()
+        entry = self.entries(stem.dictionary.to_pylist())[np.asarray(stem.indices)]
+        # Each distinct word's ids are its stem's, then the stop's.
+        first, sizes = self.at[entry], self.at[entry + 1] - self.at[entry]
+        ends = np.cumsum(sizes + (stop > 0))
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        ids[ends[stop > 0] - 1] = np.asarray(self.stops)[stop[stop > 0] - 1]
+        begins = ends - sizes - (stop > 0)
+        into = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        ids[into] = self.pool[np.repeat(first - begins, sizes) + into]
+        own = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), pa.array(ids))
+        total = (sizes + (stop > 0))[word]
+        found = own.take(pa.array(word)).values if len(word) else pa.array([], pa.uint32())
+        upto = np.concatenate([[0], np.cumsum(total)])
+        last = np.searchsorted(rows, np.arange(len(texts)), "right")
+        return np.asarray(found), np.diff(upto[last], prepend=0)
 
 
 def cut(tokens: int, capacity: int, slack: int, cuts: int = 3) -> list[int]:
@@ -89,7 +118,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, eos: int, capac
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, most=8 << 20):
         ids, counts = tokens(texts_of(batch))
         ends = np.cumsum(counts)
         for doc, n, end in zip(batch["doc_id"].to_pylist(), counts.tolist(), ends.tolist()):
