@@ -14,6 +14,7 @@ OPERATORS = {
     "op1_chat_formatting": ("chat", "SQL"),
     "op4_quality_rules": ("quality", "SQL"),
     "op5_line_dedup": ("lines", "SQL"),
+    "op8_url_filter": ("urls", None),
     "op3_harmonic_packing": ("packing", None),
 }
 
