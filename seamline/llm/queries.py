@@ -15,6 +15,7 @@ OPERATORS = {
     "op4_quality_rules": ("quality", "SQL"),
     "op5_line_dedup": ("lines", "SQL"),
     "op8_url_filter": ("urls", None),
+    "op10_toxicity": ("toxicity", None),
     "op3_harmonic_packing": ("packing", None),
 }
 
