@@ -16,6 +16,7 @@ OPERATORS = {
     "op5_line_dedup": ("lines", "SQL"),
     "op8_url_filter": ("urls", None),
     "op10_toxicity": ("toxicity", None),
+    "op7_decontamination": ("decontamination", None),
     "op3_harmonic_packing": ("packing", None),
 }
 
