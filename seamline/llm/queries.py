@@ -17,6 +17,7 @@ OPERATORS = {
     "op8_url_filter": ("urls", None),
     "op10_toxicity": ("toxicity", None),
     "op7_decontamination": ("decontamination", None),
+    "op6_ngram_join": ("ngram_join", None),
     "op3_harmonic_packing": ("packing", None),
 }
 
