@@ -18,6 +18,7 @@ OPERATORS = {
     "op10_toxicity": ("toxicity", None),
     "op7_decontamination": ("decontamination", None),
     "op6_ngram_join": ("ngram_join", None),
+    "op9_suffix_dedup": ("repeats", None),
     "op3_harmonic_packing": ("packing", None),
 }
 
