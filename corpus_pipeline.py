@@ -1,24 +1,69 @@
-"""Five stages from raw documents to packed sequences."""
+"""Five stages from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one
+before has kept; its result is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seamline.llm import decontamination, lines, ngram_join, packing, quality
+from seamline.llm.common import table, worker_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    worker_path(spark)
+    return quality.keep_good(docs)
+
 
-from seamline.llm import packing
-from seamline.llm.common import worker_path
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the boilerplate lines of their source; n_chars is that of the text that is left."""
+    cleaned = lines.drop_boilerplate(docs)
+    changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones."""
+    worker_path(spark)
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    worker_path(spark)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
     worker_path(spark)
     return packing.digest(packing.harmonic_pack(docs, packing.vocabulary()))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packed),
+]
 
-#: Shuffle-free packing depends on how rows lie in partitions, which SQL can't state.
+#: Word-set similarity and shuffle-free packing have no short SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written and read again in the folder the cluster shares."""
-    return packed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    """Apply the stages to ``documents``. Results between stages lie in the folder the cluster shares."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
