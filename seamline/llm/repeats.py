@@ -260,7 +260,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def remove_repeats(docs: DataFrame, most_broadcast: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, most_broadcast: int = 2_000) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for each row of ``docs`` (doc_id, text).
 
     spans are the removed runs (start, until) in UTF-8 bytes: all bytes of
@@ -285,12 +285,12 @@ def remove_repeats(docs: DataFrame, most_broadcast: int = 20_000) -> DataFrame:
     found = checkpointed(split)
     wanted = found.filter("until < 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
     wanted = checkpointed(wanted)
-    pieces = rows.select("doc", "text").join(_small(wanted, most_broadcast), "doc").mapInArrow(_cut_out, "anchor long, doc long, at long, bytes binary")
+    # Both joins deal the same columns by document within one job, so Spark shuffles the texts once.
+    pieces = rows.join(_small(wanted, most_broadcast), "doc").select("doc_id", "doc", "text", "wanted").mapInArrow(_cut_out, "anchor long, doc long, at long, bytes binary")
     sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_columns, ROWS)
     spans = found.filter("until >= 0").unionByName(sorted_).groupBy("doc").agg(F.collect_list(F.struct(F.col("at").alias("start"), "until")).alias("spans"))
-    spans = checkpointed(spans)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, spans array<struct<start: long, until: long>>, kept binary"
-    return rows.join(_small(spans, most_broadcast), "doc", "left").select("doc_id", "text", "spans").mapInArrow(_remove, schema)
+    return rows.join(spans, "doc", "left").select("doc_id", "doc", "text", "spans").mapInArrow(_remove, schema)
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
