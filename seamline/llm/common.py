@@ -45,7 +45,7 @@ def worker_path(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, old) if x)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``most`` bytes of text, or one row."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0))
@@ -55,6 +55,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +26,76 @@ class WordTokens:
     recur, so each is encoded once while it stays among the last ``most``.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.stops = pa.array([self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"], pa.uint32())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.pool, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+        self.pool, self.at, self.uses = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
-    def add(self, stems: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+    def shrink(self) -> None:
+        """Forget all but the words that are used most, half of ``most``."""
         n = len(self.known)
-        ends = self.at[n] + np.cumsum([len(x) for x in ids], dtype=np.int64)
-        while len(self.at) < n + len(stems) + 1:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while len(self.pool) < ends[-1]:
+        keep = np.sort(np.argsort(-self.uses[1:n], kind="stable")[: self.most // 2] + 1)
+        old, uses = (self.at, self.pool), self.uses[keep]
+        number = np.full(n, -1)
+        number[keep] = np.arange(1, len(keep) + 1)
+        known = {w: k for w, i in self.known.items() if (k := int(number[i])) > 0}
+        self.clear()
+        self.known.update(known)
+        sizes = old[0][keep + 1] - old[0][keep]
+        self._grow(len(keep) + 1, int(sizes.sum()))
+        self.at[2 : len(keep) + 2] = np.cumsum(sizes)
+        self.pool[: sizes.sum()] = old[1][np.repeat(old[0][keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.uses[1 : len(keep) + 1] = uses // 2
+
+    def _grow(self, entries: int, ids: int) -> None:
+        while len(self.at) < entries + 1:
+            self.at, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.uses))
+        while len(self.pool) < ids:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.at[n] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32)
-        self.at[n + 1 : n + 1 + len(stems)] = ends
-        self.known.update(zip(stems, range(n, n + len(stems))))
+
+    def add(self, stems: list[str]) -> None:
+        for k in range(0, len(stems), 4096):
+            part = stems[k : k + 4096]
+            ids, sizes = self.encoded(part)
+            n = len(self.known)
+            ends = self.at[n] + np.cumsum(sizes)
+            self._grow(n + len(part), int(ends[-1]))
+            self.pool[self.at[n] : ends[-1]] = ids
+            self.at[n + 1 : n + 1 + len(part)] = ends
+            self.known.update(zip(part, range(n, n + len(part))))
+
+    def encoded(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has. In one text, an id that ends a word ends that word; where words have several ends or none, each is encoded alone."""
+        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(stems) and all(map(str.isalpha, stems)):
+            return ids, np.diff(ends, prepend=0)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
     def entries(self, stems: list[str]) -> np.ndarray:
         if len(self.known) + len(stems) > self.most:
-            self.clear()
-        if new := [w for w in stems if w not in self.known]:
-            self.add(new)
-        return np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+            self.shrink()
+        found = np.fromiter(map(self.known.get, stems, repeat(-1)), np.int64, len(stems))
+        new = np.flatnonzero(found < 0)
+        words = [stems[i] for i in new.tolist()]
+        letters = [w.isalpha() for w in words]
+        for kind in (True, False):
+            if some := [w for w, is_ in zip(words, letters) if is_ == kind]:
+                self.add(some)
+        found[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[found] += 1
+        return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of them that each text has."""
@@ -118,7 +158,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, eos: int, capac
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
-    for batch in text_slices(batches, most=8 << 20):
+    for batch in text_slices(batches, most=4 << 20):
         ids, counts = tokens(texts_of(batch))
         ends = np.cumsum(counts)
         for doc, n, end in zip(batch["doc_id"].to_pylist(), counts.tolist(), ends.tolist()):
