@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size))).cast("long")
@@ -41,9 +43,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start: float, left_id: st
     by = W.partitionBy(left_id).orderBy("distance", right_id)
     for _ in range(most_rounds):
         near = within(todo, right, radius, x, y, rx, ry).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-        near = near.withColumn("_n", F.count("*").over(W.partitionBy(left_id))).filter(F.col("_n") == k).select(left_id, right_id, "distance", "rank")
+        near = near.withColumn("_n", F.count("*").over(W.partitionBy(left_id))).filter(F.col("_n") == k)
+        near = checkpointed(near.select(left_id, right_id, "distance", "rank"))
         found = near if found is None else found.unionByName(near)
-        todo = todo.join(near.select(left_id), left_id, "left_anti")
+        todo = checkpointed(todo.join(near.select(left_id).distinct(), left_id, "left_anti"))
         if k == 0 or todo.isEmpty():
             return found
         radius *= 2
@@ -88,8 +91,6 @@ def greedy_survivors(pairs: DataFrame, points: DataFrame, id: str = "id", most_r
     them stays, else goes to the least that does. Each round settles all points
     whose partners are settled; rounds are as many as the longest chain.
     """
-    from ..plans.checkpoints import checkpointed
-
     pairs = checkpointed(pairs.select("a", "b"))
     state = checkpointed(points.select(F.col(id).alias("p")).join(pairs.select(F.col("b").alias("p")).distinct(), "p", "left_anti").select("p", F.col("p").alias("kept")))
     everyone = points.select(F.col(id).alias("p"))
