@@ -127,13 +127,9 @@ def differences(a: Column) -> Column:
 
 
 def steepness(a: Column, width: int = 5) -> Column:
-    """Mean, over all places, of the greatest absolute difference in a window of ``width``, windows being cut at the ends."""
-    half = width // 2
-
-    def highest(d: Column) -> Column:
-        return F.transform(d, lambda x, i: F.array_max(F.slice(d, F.greatest(i - half, F.lit(0)) + 1, F.least(i + half + 1, F.size(d)) - F.greatest(i - half, F.lit(0)))))
-
-    return let(let(F.transform(differences(a), F.abs), highest), mean)
+    """Mean of the greatest absolute difference in each run of ``width`` differences, but for the last run."""
+    runs = lambda d: F.transform(F.sequence(F.lit(0), F.size(d) - width - 1), lambda i: F.array_max(F.slice(d, i + 1, width)))
+    return F.when(F.size(a) > width + 1, let(let(F.transform(differences(a), F.abs), runs), mean))
 
 
 def count_peaks(a: Column) -> Column:

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("series", "relational", "spatial", "learning")
+MODULES = ("series", "relational", "spatial", "learning", "signal", "depth")
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:

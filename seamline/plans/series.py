@@ -214,7 +214,7 @@ QUERIES = {
         select vec_id, round(any_value(m), 6) as mean, round(any_value(mx), 6) as max, min(i) filter (where x = mx) as at_max, round(sqrt(any_value(vr)), 6) as std, round(any_value(vr), 6) as var,
         round(avg(power(x - m, 3)) / power(any_value(vr), 1.5), 5) as skew, round(avg(power(x - m, 4)) / power(any_value(vr), 2) - 3, 5) as kurt, round(any_value(sm), 5) as sum, round(any_value(sm) - any_value(e) / 2, 5) as area from p join g using (vec_id) group by 1"""),
     "array_shape": (array_shape, f"""{_P}, w as (select *, lag(x) over k as a, lead(x) over k as b, lead(x, 2) over k as c from p window k as (partition by vec_id order by i)),
-        d as (select vec_id, i - 1 as i, abs(x - a) as d from w where a is not null), m as (select a.vec_id, a.i, max(b.d) as d from d a join d b on a.vec_id = b.vec_id and b.i between a.i - 2 and a.i + 2 group by 1, 2),
+        d as (select vec_id, i - 1 as i, abs(x - a) as d from w where a is not null), m as (select a.vec_id, a.i, max(b.d) as d from d a join d b on a.vec_id = b.vec_id and b.i between a.i and a.i + 4 where a.i < 58 group by 1, 2),
         h as (select vec_id, least(floor((x - lo) * 10 / (hi - lo)), 9) as bin, count(*) / 64.0::double as q from p join (select vec_id, min(x) as lo, max(x) as hi from p group by 1) using (vec_id) group by 1, 2),
         o as (select vec_id, (x <= b)::int * 4 + (b <= c)::int * 2 + (x <= c)::int as pat, count(*) / 62.0::double as q from w where c is not null group by 1, 2)
         select vec_id, round(avg(x * x - a * b) filter (where a is not null and b is not null), 6) as teager, round((select avg(d) from m where m.vec_id = w.vec_id), 6) as steepness, count(*) filter (where x > a and x > b) as peaks,
