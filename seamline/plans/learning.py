@@ -42,7 +42,7 @@ def finite_report(spark, sf_dir):
 
 def impute_median(spark, sf_dir):
     e = items(spark, sf_dir).withColumn("price", F.when(F.col("price") < 2000, float("nan")).otherwise(F.col("price")))
-    return L.impute_median(e, ["price", "tax"]).groupBy("grp").agg(rounded(F.sum("price"), 2).alias("price"), rounded(F.sum("tax"), 4).alias("tax"))
+    return L.impute_median(e, ["price", "tax"]).groupBy("grp").agg(rounded(F.sum("price"), 4).alias("price"), rounded(F.sum("tax"), 4).alias("tax"))
 
 
 def moments(spark, sf_dir):
@@ -148,7 +148,7 @@ QUERIES = {
         union all select grp, case when c then 'zero_iqr' else 'ok' end, case when c then 0 else n end, 'robust' from g union all select grp, 'ok', n, 'scaled' from g union all select grp, 'zero_std', 0, 'flat' from g"""),
     "table_finite_report": (finite_report, f"""with {_I} select count(*) as rows, 4::bigint as columns, count(*) filter (where price < 1000) as nan, count(*) filter (where tax = 0) as inf, count(*) filter (where price < 1000 or tax = 0) as bad_rows,
         count(*) - count(distinct (quantity, case when price < 1000 then -1 else price end, discount, tax)) as repeated from l"""),
-    "table_impute_median": (impute_median, f"with {_I}, m as (select quantile_cont(price, 0.5) as p from l where price >= 2000) select grp, round(sum(case when price < 2000 then p else price end), 2) as price, round(sum(tax), 4) as tax from l, m group by 1"),
+    "table_impute_median": (impute_median, f"with {_I}, m as (select quantile_cont(price, 0.5) as p from l where price >= 2000) select grp, round(sum(case when price < 2000 then p else price end), 4) as price, round(sum(tax), 4) as tax from l, m group by 1"),
     "table_moments": (moments, f"with {_I}, u as (unpivot (select quantity, price, discount, tax from l) on quantity, price, discount, tax into name feature value x) select feature, round(avg(x), 4) as mean, round(var_pop(x) / var_samp(x), 9) as ratio, round(log10(var_samp(x)), 6) as log_var from u group by 1"),
     "table_correlations": (correlations, f"with {_I} " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 7) as r from l" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])),
     "table_kept_features": (kept_features, f"""with {_I}, r as (select abs(corr(quantity, price)) as qp, abs(corr(price, price * 2 + tax)) as pp, abs(corr(quantity, price * 2 + tax)) as q2 from l)

@@ -35,11 +35,11 @@ def read_las(spark: SparkSession, path: str, missing: float = -999.25) -> DataFr
     The first curve is the depth. Files are read whole, one row each, and
     taken apart by column functions.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r", "").alias("t"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r", "").alias("t"))
     part = lambda letter: F.regexp_extract("t", rf"(?is)(?:^|\n)~{letter}[^\n]*\n(.*?)(?=\n~|$)", 1)
     lines = lambda c: F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
     null = F.coalesce(F.regexp_extract("t", r"(?im)^\s*NULL\s*\.\S*\s+([-+0-9.eE]+)", 1).try_cast("double"), F.lit(missing))
-    curves = F.transform(lines(part("C")), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^\s*([^.\s]+)\s*\.", 1)).alias("name"), F.regexp_extract(x, r"^\s*[^.]+\.(\S*)", 1).alias("unit")))
+    curves = F.transform(lines(part("C")), lambda x: F.named_struct(F.lit("name"), F.trim(F.regexp_extract(x, r"^\s*([^.\s]+)\s*\.", 1)), F.lit("unit"), F.regexp_extract(x, r"^\s*[^.]+\.(\S*)", 1)))
     files = files.select("file", null.alias("null"), curves.alias("curves"), F.posexplode(lines(part("A"))).alias("row", "line"))
     cells = files.select("file", "null", "curves", F.split(F.trim("line"), r"\s+").alias("v"))
     long = cells.select("file", "null", "curves", F.get("v", F.lit(0)).try_cast("double").alias("depth"), F.posexplode("v").alias("k", "x")).filter("k > 0")
