@@ -73,7 +73,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Each word's text number and code, and the distinct words that the codes mean."""
-    lists = pc.split_pattern_regex(texts, pattern="[ \\t-\\r]+")
+    lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     rows = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
     full = np.asarray(pc.binary_length(flat)) > 0

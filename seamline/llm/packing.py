@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import table, text_slices, texts_of, words_of
 
+#: Stands between words that are encoded as one text.
+SEPARATOR = "•"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,6 +37,7 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.apart = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -63,10 +66,10 @@ class WordTokens:
         while len(self.pool) < ids:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
 
-    def add(self, stems: list[str]) -> None:
+    def add(self, stems: list[str], letters: bool) -> None:
         for k in range(0, len(stems), 4096):
             part = stems[k : k + 4096]
-            ids, sizes = self.encoded(part)
+            ids, sizes = self.encoded(part, letters)
             n = len(self.known)
             ends = self.at[n] + np.cumsum(sizes)
             self._grow(n + len(part), int(ends[-1]))
@@ -74,12 +77,19 @@ class WordTokens:
             self.at[n + 1 : n + 1 + len(part)] = ends
             self.known.update(zip(part, range(n, n + len(part))))
 
-    def encoded(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, and how many each has. In one text, an id that ends a word ends that word; where words have several ends or none, each is encoded alone."""
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(stems) and all(map(str.isalpha, stems)):
-            return ids, np.diff(ends, prepend=0)
+    def encoded(self, stems: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has. Many words are encoded as one text: words of letters alone have one id that ends a word each, others get a separator between them. Where that doesn't add up, each is encoded alone."""
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(stems):
+                return ids, np.diff(ends, prepend=0)
+        elif len(self.apart) == 1:
+            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(stems), add_special_tokens=False).ids, np.uint32)
+            apart = ids == self.apart[0]
+            ends = np.append(np.flatnonzero(apart), len(ids))
+            if len(ends) == len(stems):
+                return ids[~apart], np.diff(ends, prepend=-1) - 1
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
@@ -88,12 +98,11 @@ class WordTokens:
             self.shrink()
         found = np.fromiter(map(self.known.get, stems, repeat(-1)), np.int64, len(stems))
         new = np.flatnonzero(found < 0)
-        words = [stems[i] for i in new.tolist()]
-        letters = [w.isalpha() for w in words]
+        letters = np.fromiter((stems[i].isalpha() for i in new.tolist()), bool, len(new))
         for kind in (True, False):
-            if some := [w for w, is_ in zip(words, letters) if is_ == kind]:
-                self.add(some)
-        found[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            some, n = new[letters == kind], len(self.known)
+            self.add([stems[i] for i in some.tolist()], kind)
+            found[some] = np.arange(n, n + len(some))
         self.uses[found] += 1
         return found
 
