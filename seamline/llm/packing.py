@@ -147,7 +147,7 @@ def cut(tokens: int, capacity: int, slack: int, cuts: int = 3) -> list[int]:
     return sizes + [rest] * (rest > 0)
 
 
-def pack_partition(batches: Iterator[pa.RecordBatch], path: str, eos: int, capacity: int, slack: int) -> Iterator[pa.RecordBatch]:
+def pack_partition(batches: Iterator[pa.RecordBatch], path: str, eos: int, capacity: int, slack: int, slice_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Fill bins from one partition's documents alone; class k holds lengths in (capacity/(k+1), capacity/k], k pieces to a bin."""
     tokens, bins = WordTokens(path), {}
     serial = TaskContext.get().partitionId() << 36
@@ -167,7 +167,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, eos: int, capac
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
-    for batch in text_slices(batches, most=4 << 20):
+    for batch in text_slices(batches, most=slice_bytes):
         ids, counts = tokens(texts_of(batch))
         ends = np.cumsum(counts)
         for doc, n, end in zip(batch["doc_id"].to_pylist(), counts.tolist(), ends.tolist()):
@@ -196,7 +196,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, eos: int, capac
     yield flush()
 
 
-def harmonic_pack(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity: int = 4096, slack: int = 32) -> DataFrame:
+def harmonic_pack(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity: int = 4096, slack: int = 32, slice_bytes: int = 4 << 20) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Every task packs its own partition: no shuffle, and no state beyond one
@@ -205,7 +205,8 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity:
     overflows. Long documents give full bins; a rest is cut at reciprocal
     shares (see ``cut``). At a partition's end, what lies in unfinished bins is
     laid end to end and cut into sequences of ``capacity`` and then of powers
-    of two.
+    of two. A task encodes about ``slice_bytes`` of text at once: more takes
+    less time, as words recur within a slice, and more memory.
 
     Returns a row for each piece: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset. A null or empty text is
@@ -213,7 +214,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity:
     doc_id stays null; other columns are ignored; no rows give no rows.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: pack_partition(it, tokenizer_path, eos, capacity, slack), PIECES
+        lambda it: pack_partition(it, tokenizer_path, eos, capacity, slack, slice_bytes), PIECES
     )
 
 
@@ -228,4 +229,4 @@ def vocabulary() -> str:
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(harmonic_pack(table(spark, sf_dir, "documents"), vocabulary()))
+    return digest(harmonic_pack(table(spark, sf_dir, "documents"), vocabulary(), slice_bytes=8 << 20))
