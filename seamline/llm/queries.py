@@ -12,6 +12,7 @@ from .common import worker_path
 #: query: (module, SQL's name in it or None)
 OPERATORS = {
     "op1_chat_formatting": ("chat", "SQL"),
+    "op2_warc_fixity": ("fixity", "SQL"),
     "op4_quality_rules": ("quality", "SQL"),
     "op5_line_dedup": ("lines", "SQL"),
     "op8_url_filter": ("urls", None),
