@@ -45,14 +45,17 @@ def skeleton(path: Column, levels: int = LEVELS) -> Column:
     return F.slice(F.transform(parts, general), 1, levels)
 
 
-def templates(nodes: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
+def templates(nodes: DataFrame, levels: int = LEVELS, fanout: int | None = None) -> DataFrame:
     """Template of each (host, skel) of ``nodes``, which also has the counts labelled and bad.
 
-    Level by level from each host's root: a node with more than ``fanout``
-    children has them all become one wildcard. Of the rest, labelled children
-    whose share of bad pages doesn't differ significantly from that of their
-    labelled siblings taken together are merged into one wildcard. A child
-    without labels can't be compared and stays by itself.
+    Level by level from each host's root: labelled children whose share of bad
+    pages doesn't differ significantly from that of their labelled siblings
+    taken together are merged into one wildcard. A child that differs stays by
+    itself, however many siblings it has; a differing child that is itself a
+    wildcard is named #, which no path holds. A child without labels can't be
+    compared: it joins the wildcard where its node has more than FANOUT
+    children, else stays by itself. Only where ``fanout`` is given, a node with
+    more children has them all become one wildcard, without a test.
     """
     nodes = nodes.withColumn("template", F.lit(""))
     for level in range(1, levels + 1):
@@ -63,10 +66,12 @@ def templates(nodes: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> D
         rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
         pooled = F.try_divide("all_b", "all_n")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "n") + F.try_divide(F.lit(1.0), rest_n)))
-        alike = (F.col("n") > 0) & (rest_n > 0) & (F.abs(F.try_divide("b", "n") - F.try_divide(rest_b, rest_n)) <= Z * error)
-        named = children.join(parents, ["host", "template"]).select(
-            "host", "template", "part", F.when((F.col("parts") > fanout) | F.coalesce(alike, F.lit(False)), "*").otherwise(F.col("part")).alias("name")
-        )
+        compared = (F.col("n") > 0) & (rest_n > 0)
+        alike = compared & (F.abs(F.try_divide("b", "n") - F.try_divide(rest_b, rest_n)) <= Z * error)
+        wide = (F.col("parts") > FANOUT) & (F.col("n") == 0) if fanout is None else F.col("parts") > fanout
+        name = F.when(wide | F.coalesce(alike, F.lit(False)), "*")
+        name = name.when(compared & (F.col("part") == "*"), "#") if fanout is None else name
+        named = children.join(parents, ["host", "template"]).select("host", "template", "part", name.otherwise(F.col("part")).alias("name"))
         nodes = rows.join(named, ["host", "template", "part"], "left").select(
             "host", "skel", "labelled", "bad", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name")).alias("template")
         )

@@ -83,3 +83,21 @@ def test_impure_templates_are_rejected(spark):
     got = {r.page_id: r._verdict for r in U.judge_urls(df, [], label=F.col("l")).collect()}
     assert got == {i: "block" if i < 100 else "allow" for i in got} and len(got) == 40
     assert U.judge_urls(df.limit(0), U.RULES).count() == 0
+
+
+def test_a_bad_branch_survives_many_siblings(spark):
+    from pyspark.sql import functions as F
+
+    def verdicts(bad, sections):
+        rows = [(f"http://w.io/{bad}/{i}", True if i % 2 else None) for i in range(200)]
+        # letters only, as digits are wildcards
+        names = ["".join(chr(97 + int(c)) for c in f"{k:03d}") for k in range(sections)]
+        rows += [(f"http://w.io/{x}/{i}", False) for x in names for i in range(20)]
+        rows += [(f"http://w.io/x{x}/1", None) for x in names]
+        df = spark.createDataFrame(rows, "url string, l boolean")
+        return {(r.url.split("/")[3], r._verdict) for r in U.judge_urls(df, [], label=F.col("l")).collect()}
+
+    for bad in ("spam", "2024"):
+        for sections in (10, 90):
+            got = verdicts(bad, sections)
+            assert [k for k in got if k[1] == "block"] == [(bad, "block")] and len(got) == 2 * sections + 1
