@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .common import checkpointed, table
 
 #: (action, host, path). A rule fits its host and all subdomains.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-LEVELS, FANOUT = 4, 64
+FANOUT = 64
 #: Two shares differ beyond this many standard errors.
 Z = 1.96
 #: What stands for unlabelled pages: so many good and bad ones are added to each template; below PURITY it is rejected.
@@ -34,18 +36,18 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, action
 
 
-def skeleton(path: Column, levels: int = LEVELS) -> Column:
-    """The first segments of a path; runs of digits, long hexadecimal and long mixed segments are wildcards."""
+def skeleton(path: Column) -> Column:
+    """The segments of a path; runs of digits, long hexadecimal and long mixed segments are wildcards."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
 
     def general(s: Column) -> Column:
         s = F.when(s.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}$|^.{40,}$"), "*").otherwise(s)
         return F.regexp_replace(s, "[0-9]+", "*")
 
-    return F.slice(F.transform(parts, general), 1, levels)
+    return F.transform(parts, general)
 
 
-def templates(nodes: DataFrame, levels: int = LEVELS, fanout: int | None = None) -> DataFrame:
+def templates(nodes: DataFrame, levels: int | None = None, fanout: int | None = None) -> DataFrame:
     """Template of each (host, skel) of ``nodes``, which also has the counts labelled and bad.
 
     Level by level from each host's root: labelled children whose share of bad
@@ -56,12 +58,21 @@ def templates(nodes: DataFrame, levels: int = LEVELS, fanout: int | None = None)
     compared: it joins the wildcard where its node has more than FANOUT
     children, else stays by itself. Only where ``fanout`` is given, a node with
     more children has them all become one wildcard, without a test.
+
+    Rounds end with the longest skeleton, or after ``levels`` where given. A
+    skeleton alone under its template has nothing to be compared with further
+    down and is settled at once, so rounds are only as many as levels shared.
     """
-    nodes = nodes.withColumn("template", F.lit(""))
-    for level in range(1, levels + 1):
-        at = F.try_element_at("skel", F.lit(level))
-        rows = nodes.withColumn("part", at)
-        children = rows.filter("part is not null").groupBy("host", "template", "part").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+    nodes = nodes.select("host", "skel", "labelled", "bad", F.lit("").alias("template"), (F.size("skel") == 0).alias("_done"))
+    settled, level = [], 0
+    while True:
+        settled.append(nodes.filter("_done").drop("_done"))
+        rows = nodes.filter("not _done").drop("_done")
+        if level == levels or rows.isEmpty():
+            break
+        level += 1
+        rows = rows.withColumn("part", F.element_at("skel", F.lit(level)))
+        children = rows.groupBy("host", "template", "part").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("_nodes"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("parts"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
         rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
         pooled = F.try_divide("all_b", "all_n")
@@ -71,12 +82,14 @@ def templates(nodes: DataFrame, levels: int = LEVELS, fanout: int | None = None)
         wide = (F.col("parts") > FANOUT) & (F.col("n") == 0) if fanout is None else F.col("parts") > fanout
         name = F.when(wide | F.coalesce(alike, F.lit(False)), "*")
         name = name.when(compared & (F.col("part") == "*"), "#") if fanout is None else name
-        named = children.join(parents, ["host", "template"]).select("host", "template", "part", name.otherwise(F.col("part")).alias("name"))
-        nodes = rows.join(named, ["host", "template", "part"], "left").select(
-            "host", "skel", "labelled", "bad", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name")).alias("template")
-        )
-        nodes = checkpointed(nodes)
-    return nodes
+        named = children.join(parents, ["host", "template"]).select("host", "template", "part", name.otherwise(F.col("part")).alias("name"), "_nodes", "parts")
+        alone = (F.col("_nodes") == 1) & ((F.col("name") != "*") | (F.col("parts") == 1)) if levels is None and fanout is None else F.lit(False)
+        rest = F.slice("skel", F.lit(level + 1), F.size("skel"))
+        nodes = checkpointed(rows.join(named, ["host", "template", "part"]).select(
+            "host", "skel", "labelled", "bad", F.concat_ws("/", "template", "name", F.when(alone, rest)).alias("template"), (alone | (F.size("skel") == level)).alias("_done"),
+        ))
+    settled.append(rows)
+    return reduce(DataFrame.unionByName, settled)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", label: Column | None = None, most_broadcast: int = 50_000) -> DataFrame:

@@ -101,3 +101,24 @@ def test_a_bad_branch_survives_many_siblings(spark):
         for sections in (10, 90):
             got = verdicts(bad, sections)
             assert [k for k in got if k[1] == "block"] == [(bad, "block")] and len(got) == 2 * sections + 1
+
+
+def test_branches_below_the_fourth_segment(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    kinds = {"/a/b/c/d/e/f/spam": True, "/a/b/c/d/e/f/docs": False, "/a/b/c/d/e/g": False, "/q/r/s/t/u/v/w/x/y/z": None}
+    rows = [(f"http://d.io{k}/{i}", v if i < 30 else None) for k, v in kinds.items() for i in range(60)]
+    df = spark.createDataFrame(rows, "url string, l boolean")
+    for r in U.judge_urls(df, [], label=F.col("l")).collect():
+        assert r._verdict == ("block" if "/spam/" in r.url else "allow")
+
+    r = random.Random(8)
+    nodes = {}
+    for _ in range(300):
+        skel = tuple(r.choice("ab") for _ in range(r.randrange(0, 10)))
+        n = r.choice([0, 0, 3, 20])
+        nodes["h", skel] = (n, sum(r.random() < (0.9 if skel[6:7] == ("a",) else 0.1) for _ in range(n)))
+    df = spark.createDataFrame([(h, list(s), n, b) for (h, s), (n, b) in nodes.items()], "host string, skel array<string>, labelled long, bad long")
+    assert {(x.host, tuple(x.skel)): x.template for x in U.templates(df).collect()} == tree(nodes, 9, 64)
