@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix64, table, text_slices, texts_of, utf8
@@ -96,26 +96,44 @@ def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 16, packed >> 8 & 0xFF, packed & 0xFF
 
 
-def _later(anchor: np.ndarray, around: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _groups(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each different (doc, row), and what doc and row the numbers mean."""
+    order = np.lexsort((row, doc))
+    d, r = doc[order], row[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]))[: len(d)]
+    number = np.empty(len(d), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, d[new], r[new]
+
+
+def _later(anchor: np.ndarray, around: np.ndarray, doc: np.ndarray, row: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by content, then place; and which rows of it repeat an earlier place."""
-    order = np.lexsort((packed, doc, around, anchor))
-    a, s, d, p = anchor[order], around[order], doc[order], packed[order]
+    turn = np.maximum(row, KNOWN)
+    order = np.lexsort((packed, turn, doc, around, anchor))
+    a, s, d, t, p = anchor[order], around[order], doc[order], turn[order], packed[order]
     first = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])) if len(a) else np.zeros(0, bool)
     of = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-    return order, (d != d[of]) | (p != p[of])
+    return order, (d != d[of]) | (t != t[of]) | (p != p[of])
 
 
-ROWS = "anchor long, around long, doc long, at long, until long"
+ROWS = "anchor long, around long, doc long, row long, at long, until long"
+#: The row of texts with a doc_id of their own; from 0 up are texts without one, in their order, and below are texts that share one.
+KNOWN = -1
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [x.split()[0] for x in ROWS.split(", ")])
 
 
-def _spans(doc: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+def _joined(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    number, doc, row = _groups(doc, row)
+    number, start, end = merged(number, start, end)
+    return _batch(np.zeros(len(number)), np.zeros(len(number)), doc[number], row[number], start, end)
+
+
+def _spans(doc: np.ndarray, row: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
     at, left, right = _unpacked(packed)
-    doc, start, end = merged(doc, at - left, at + right)
-    return _batch(np.zeros(len(doc)), np.zeros(len(doc)), doc, start, end)
+    return _joined(doc, row, at - left, at + right)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +141,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         data, starts = utf8(texts_of(batch))
         text, at, anchor, around, left, right = anchors(data, starts)
-        doc, packed = np.asarray(batch["doc"])[text], _packed(at, left, right)
-        order, later = _later(anchor, around, doc, packed)
-        yield _spans(doc[order[later]], packed[order[later]])
+        doc, row, packed = np.asarray(batch["doc"])[text], np.asarray(batch["row"])[text], _packed(at, left, right)
+        order, later = _later(anchor, around, doc, row, packed)
+        yield _spans(doc[order[later]], row[order[later]], packed[order[later]])
         one = order[~later]
-        yield _batch(anchor[one].view(np.int64), around[one].view(np.int64), doc[one], packed[one], np.full(len(one), -1))
+        yield _batch(anchor[one].view(np.int64), around[one].view(np.int64), doc[one], row[one], packed[one], np.full(len(one), -1))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], name: str, least: int = 1) -> Iterator[pa.Table]:
@@ -154,16 +172,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], name: str, least: int = 1) -
 def _same_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by hash: spans of those whose surroundings occur earlier; and, of anchors with several surroundings, the first place of each."""
     for t in whole_groups(batches, "anchor", 20_000):
-        anchor, around, doc, packed = (np.asarray(t[c]) for c in ("anchor", "around", "doc", "at"))
-        order, later = _later(anchor, around, doc, packed)
-        yield _spans(doc[order[later]], packed[order[later]])
-        one = order[np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (around[order][1:] != around[order][:-1]))]
-        a = anchor[one]
-        several = np.zeros(len(a), bool)
-        several[1:] |= a[1:] == a[:-1]
-        several[:-1] |= a[1:] == a[:-1]
-        one = one[several]
-        yield _batch(anchor[one], around[one], doc[one], packed[one], np.full(len(one), -1))
+        anchor, around, doc, row, packed = (np.asarray(t[c]) for c in ("anchor", "around", "doc", "row", "at"))
+        order, later = _later(anchor, around, doc, row, packed)
+        yield _spans(doc[order[later]], row[order[later]], packed[order[later]])
+        # several rows where texts that share a doc_id have the same at one place
+        one = order[~later]
+        a, s = anchor[one], around[one]
+        start = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+        size = np.diff(np.append(start, len(a)))
+        one = one[np.repeat(s[start] != s[start + size - 1], size)]
+        yield _batch(anchor[one], around[one], doc[one], row[one], packed[one], np.full(len(one), -1))
 
 
 def earlier_windows(grid: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -204,23 +222,23 @@ def earlier_windows(grid: np.ndarray, left: np.ndarray, right: np.ndarray, rank:
 
 
 def _sort_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of strings that occur earlier around an equal anchor but in other surroundings. Rows sorted by anchor: anchor, doc, at, bytes."""
+    """Spans of strings that occur earlier around an equal anchor but in other surroundings. Rows sorted by anchor: anchor, doc, row, at, bytes."""
     for t in whole_groups(batches, "anchor", 4_000):
-        doc, packed = np.asarray(t["doc"]), np.asarray(t["at"])
+        doc, own, packed = np.asarray(t["doc"]), np.asarray(t["row"]), np.asarray(t["at"])
         at, left, right = _unpacked(packed)
         grid = np.zeros((len(doc), WIDTH), np.uint8)
         size = left + right
         flat = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
         row = np.repeat(np.arange(len(doc)), size)
         grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(LEFT - left, size)] = flat
-        place = np.lexsort((at, doc))
+        turn = np.maximum(own, KNOWN)
+        place = np.lexsort((at, turn, doc))
         rank = np.empty(len(doc), np.int64)
-        new = np.append(True, (doc[place][1:] != doc[place][:-1]) | (at[place][1:] != at[place][:-1]))
+        new = np.append(True, np.any([x[place][1:] != x[place][:-1] for x in (doc, turn, at)], 0))
         rank[place] = np.cumsum(new)
         row, column = np.nonzero(earlier_windows(grid, left, right, rank))
         start = at[row] - LEFT + column
-        doc, start, end = merged(doc[row], start, start + LENGTH)
-        yield _batch(np.zeros(len(doc)), np.zeros(len(doc)), doc, start, end)
+        yield _joined(doc[row], own[row], start, start + LENGTH)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +250,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, packed = (np.asarray(places.field(k)) for k in ("anchor", "at"))
         at, left, right = _unpacked(packed)
         text = np.repeat(np.arange(len(of)), of)
-        # rows that share a doc_id may be shorter than the place wanted
         low, high = starts[text] + at - left, starts[text] + at + right
-        fits = high <= starts[text + 1]
         raw = data.tobytes()
-        pieces = pa.array([raw[a:b] for a, b in zip(low[fits].tolist(), high[fits].tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[fits]), batch["doc"].take(pa.array(text[fits])), pa.array(packed[fits]), pieces], ["anchor", "doc", "at", "bytes"])
+        pieces = pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), *(batch[c].take(pa.array(text)) for c in ("doc", "row")), pa.array(packed), pieces], ["anchor", "doc", "row", "at", "bytes"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,29 +284,49 @@ def remove_repeats(docs: DataFrame, most_broadcast: int = 2_000) -> DataFrame:
     before in the same document. kept is what is left, as bytes.
 
     Null texts are empty; texts shorter than LENGTH lose nothing. Rows with a
-    null doc_id come after all others, and rows that share a doc_id are one
-    document: equal places in them are not earlier than each other. Other
-    columns are ignored; no rows give no rows.
+    null doc_id come after all others, each a document of its own, in the order
+    in which they are read. Rows that share a doc_id are ranked as one document:
+    equal places in them are not earlier than each other; but each row loses
+    only what it repeats itself. Other columns are ignored; no rows give no rows.
 
     Each text is cut to anchors chosen by content (one for about 35 bytes).
     Equal surroundings of an anchor are found by hash, in each slice of text
     first, so what very many texts share sends a row for each slice. Only
     anchors with differing surroundings have these sorted column by column.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize)).alias("doc"), F.col("text").cast("string").alias("text"))
-    found = rows.select("doc", "text").mapInArrow(_find, ROWS)
+    rows, key = _numbered(docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")))
+    found = rows.select("doc", "row", "text").mapInArrow(_find, ROWS)
     # Spans ride along with the anchors to a partition that their document chooses.
-    dealt = found.withColumn("part", F.when(F.col("until") < 0, F.col("anchor")).otherwise(F.xxhash64("doc", "at"))).repartition("part").drop("part")
+    dealt = found.withColumn("part", F.when(F.col("until") < 0, F.col("anchor")).otherwise(F.xxhash64("doc", "row", "at"))).repartition("part").drop("part")
     split = dealt.sortWithinPartitions(F.col("until") < 0, "anchor").mapInArrow(_split, ROWS)
     found = checkpointed(split)
-    wanted = found.filter("until < 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
+    wanted = found.filter("until < 0").groupBy(*key).agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
     wanted = checkpointed(wanted)
     # Both joins deal the same columns by document within one job, so Spark shuffles the texts once.
-    pieces = rows.join(_small(wanted, most_broadcast), "doc").select("doc_id", "doc", "text", "wanted").mapInArrow(_cut_out, "anchor long, doc long, at long, bytes binary")
+    pieces = rows.join(_small(wanted, most_broadcast), key).select("doc_id", "doc", "row", "text", "wanted").mapInArrow(_cut_out, "anchor long, doc long, row long, at long, bytes binary")
     sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_columns, ROWS)
-    spans = found.filter("until >= 0").unionByName(sorted_).groupBy("doc").agg(F.collect_list(F.struct(F.col("at").alias("start"), "until")).alias("spans"))
+    spans = found.filter("until >= 0").unionByName(sorted_).groupBy(*key).agg(F.collect_list(F.struct(F.col("at").alias("start"), "until")).alias("spans"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, spans array<struct<start: long, until: long>>, kept binary"
-    return rows.join(spans, "doc", "left").select("doc_id", "doc", "text", "spans").mapInArrow(_remove, schema)
+    return rows.join(spans, key, "left").select("doc_id", "doc", "row", "text", "spans").mapInArrow(_remove, schema)
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """With a row for each text, as at KNOWN, and the columns that tell texts apart. Only texts without a doc_id of their own are numbered, and written to keep their numbers."""
+    named = rows.filter("doc is not null")
+    shared = checkpointed(named.groupBy("doc").count().filter("count > 1").select("doc"))
+    plain, others = named, rows.filter("doc is null")
+    if not shared.isEmpty():
+        plain, others = named.join(shared, "doc", "left_anti"), others.unionByName(named.join(shared, "doc", "left_semi"))
+    elif others.isEmpty():
+        return _placed(rows, F.lit(KNOWN)), ["doc"]
+    number = F.monotonically_increasing_id()
+    others = checkpointed(_placed(others, F.when(F.col("doc").isNull(), number).otherwise(KNOWN - 1 - number)))
+    return _placed(plain, F.lit(KNOWN)).unionByName(others), ["doc", "row"]
+
+
+def _placed(rows: DataFrame, row: Column) -> DataFrame:
+    # never null, so that no join adds a filter which would keep Spark from sharing the shuffle of the texts
+    return rows.select("doc_id", F.coalesce("doc", F.lit(sys.maxsize)).alias("doc"), "text", F.coalesce(row.cast("long"), F.lit(0).cast("long")).alias("row"))
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

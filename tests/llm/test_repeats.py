@@ -59,6 +59,20 @@ def test_repeated_rows_and_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    r = random.Random(9)
+    a, b, c, d = ("".join(r.choice("abcdef") for _ in range(600)) for _ in range(4))
+    rows = [(1, a[:200]), (None, a), (None, b), (None, c), (None, c)]
+    assert run(spark, rows) == sorted([(1, 200, [], a[:200].encode()), (None, 600, [(0, 200)], a[200:].encode()), (None, 600, [], b.encode()), (None, 600, [], c.encode()), (None, 600, [(0, 600)], b"")], key=str)
+    # in other surroundings, and in rows that share a doc_id
+    rows = [(1, a[:150]), (2, d[:300] + a[:150] + d[300:]), (2, b + c), (2, d[:300] + a[:150] + d[300:]), (3, c), (None, b[50:] + a[20:170]), (None, "x" + b[50:])]
+    got = run(spark, rows)
+    cut = d[:300] + d[300:]
+    assert [x for x in got if x[0] == 2] == sorted([(2, 750, [(300, 450)], cut.encode())] * 2 + [(2, 1200, [], (b + c).encode())], key=str)
+    assert [x[3] for x in got if x[0] == 3] == [b""] and sorted(x[3] for x in got if x[0] is None) == sorted([a[150:170].encode(), b"x"])
+    assert run(spark, rows, most_broadcast=0) == got
+
+
 def test_columns_agree_with_comparison():
     rng = np.random.default_rng(3)
     grid = rng.integers(0, 2, (60, R.WIDTH)).astype(np.uint8)
