@@ -7,6 +7,8 @@ candidates, and the planner splits skewed cells.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,25 +86,38 @@ def near_pairs(points: DataFrame, distance: float, id: str = "id", x: str = "x",
     return within(p, q, distance).filter("b > a").select("a", "b", "distance")
 
 
-def greedy_survivors(pairs: DataFrame, points: DataFrame, id: str = "id", most_rounds: int = 50) -> DataFrame:
+def greedy_survivors(pairs: DataFrame, points: DataFrame, id: str = "id", most_rounds: int | None = None) -> DataFrame:
     """(id, kept_id) of points after each, in order of id, has taken in the later points it is paired with that are left.
 
-    A point is settled once all its earlier partners are: it stays if none of
-    them stays, else goes to the least that does. Each round settles all points
-    whose partners are settled; rounds are as many as the longest chain.
+    A point goes to its least earlier partner that stays, once all partners
+    before that one are known to go, and stays itself once all earlier partners
+    are known to go. Each round settles all points that can be and drops the
+    pairs that no longer matter; rounds end when no point is open, or with an
+    error after ``most_rounds`` where given.
     """
     pairs = checkpointed(pairs.select("a", "b"))
-    state = checkpointed(points.select(F.col(id).alias("p")).join(pairs.select(F.col("b").alias("p")).distinct(), "p", "left_anti").select("p", F.col("p").alias("kept")))
-    everyone = points.select(F.col(id).alias("p"))
-    for _ in range(most_rounds):
-        open_ = everyone.join(state, "p", "left_anti")
-        before = pairs.join(open_.select(F.col("p").alias("b")), "b").join(state.withColumnRenamed("p", "a"), "a", "left")
-        ready = before.groupBy("b").agg(F.count_if(F.col("kept").isNull()).alias("_open"), F.min(F.when(F.col("kept") == F.col("a"), F.col("a"))).alias("_by")).filter("_open = 0")
-        new = checkpointed(ready.select(F.col("b").alias("p"), F.coalesce("_by", "b").alias("kept")))
-        if new.isEmpty():
+    first = points.select(F.col(id).alias("p")).join(pairs.select(F.col("b").alias("p")).distinct(), "p", "left_anti")
+    new, settled, rounds = checkpointed(first.select("p", F.col("p").alias("kept"))), [], 0
+    # open pairs: later points not settled yet, with whether the earlier one is known to stay
+    open_ = pairs.withColumn("stays", F.lit(False))
+    while True:
+        settled = [*settled, new] if len(settled) < 16 else [checkpointed(reduce(DataFrame.unionByName, [*settled, new]))]
+        known = open_.join(new.select(F.col("p").alias("a"), (F.col("kept") == F.col("p")).alias("_stays")), "a", "left").join(new.select(F.col("p").alias("b")), "b", "left_anti")
+        # partners known to go don't matter, nor do those behind the least that stays
+        known = known.select("a", "b", (F.col("stays") | F.coalesce("_stays", F.lit(False))).alias("stays"), F.coalesce(~F.col("_stays"), F.lit(False)).alias("_gone"))
+        by_b = known.groupBy("b").agg(F.min(F.when(F.col("stays"), F.col("a"))).alias("_by"), F.min(F.when(~F.col("stays") & ~F.col("_gone"), F.col("a"))).alias("_open"))
+        by_b = checkpointed(by_b)
+        if by_b.isEmpty():
             break
-        state = checkpointed(state.unionByName(new))
-    return state.select(F.col("p").alias("id"), F.col("kept").alias("kept_id"))
+        if rounds == most_rounds:
+            raise RuntimeError(f"points are left open after {most_rounds} rounds")
+        rounds += 1
+        done = F.col("_open").isNull() | F.coalesce(F.col("_by") < F.col("_open"), F.lit(False))
+        new = checkpointed(by_b.filter(done).select(F.col("b").alias("p"), F.coalesce("_by", "b").alias("kept")))
+        left = known.filter("not _gone").join(by_b.filter(~done).select("b", "_by"), "b")
+        open_ = checkpointed(left.filter(F.col("_by").isNull() | (F.col("a") <= F.col("_by"))).select("a", "b", "stays"))
+    found = reduce(DataFrame.unionByName, settled)
+    return found.select(F.col("p").alias("id"), F.col("kept").alias("kept_id"))
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, right_id: str, most: float) -> DataFrame:
