@@ -11,11 +11,12 @@ from .common import checkpointed, table
 
 #: (action, host, path). A rule fits its host and all subdomains.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-FANOUT = 64
 #: Two shares differ beyond this many standard errors.
 Z = 1.96
-#: What stands for unlabelled pages: so many good and bad ones are added to each template; below PURITY it is rejected.
+#: The prior: so many good and bad pages stand above each host's root; a template whose smoothed purity is below PURITY is rejected.
 GOOD, BAD, PURITY = 4, 1, 0.5
+#: Children of a node are gathered by their smoothed share of bad pages into so many bins before they are compared.
+BINS = 10
 
 
 def host_of(url: Column) -> Column:
@@ -47,78 +48,104 @@ def skeleton(path: Column) -> Column:
     return F.transform(parts, general)
 
 
-def templates(nodes: DataFrame, levels: int | None = None, fanout: int | None = None) -> DataFrame:
-    """Template of each (host, skel) of ``nodes``, which also has the counts labelled and bad.
+def smoothed(good: Column, labelled: Column, above: Column) -> Column:
+    """Share of good pages, drawn toward the share above as if GOOD + BAD pages had that share."""
+    return (good + (GOOD + BAD) * above) / (labelled + (GOOD + BAD))
 
-    Level by level from each host's root: labelled children whose share of bad
-    pages doesn't differ significantly from that of their labelled siblings
-    taken together are merged into one wildcard. A child that differs stays by
-    itself, however many siblings it has; a differing child that is itself a
-    wildcard is named #, which no path holds. A child without labels can't be
-    compared: it joins the wildcard where its node has more than FANOUT
-    children, else stays by itself. Only where ``fanout`` is given, a node with
-    more children has them all become one wildcard, without a test.
 
-    Rounds end with the longest skeleton, or after ``levels`` where given. A
-    skeleton alone under its template has nothing to be compared with further
-    down and is settled at once, so rounds are only as many as levels shared.
+def _clusters(bins: Column) -> Column:
+    """From an array of (bin, n, b, parts) in order of bin: (low, high, parts) of runs of bins whose shares don't differ significantly."""
+
+    def differ(x: Column, y: Column) -> Column:
+        pooled = (x["b"] + y["b"]) / (x["n"] + y["n"])
+        error = F.sqrt(pooled * (1 - pooled) * (1 / x["n"] + 1 / y["n"]))
+        return F.abs(x["b"] / x["n"] - y["b"] / y["n"]) > Z * error
+
+    def add(runs: Column, x: Column) -> Column:
+        last = F.element_at(runs, -1)
+        one = F.array(F.struct(x["bin"].alias("low"), x["bin"].alias("high"), x["n"].alias("n"), x["b"].alias("b"), x["parts"].alias("parts")))
+        both = F.array(F.struct(last["low"].alias("low"), x["bin"].alias("high"), (last["n"] + x["n"]).alias("n"), (last["b"] + x["b"]).alias("b"), (last["parts"] + x["parts"]).alias("parts")))
+        return F.when(F.size(runs) == 0, one).when(differ(last, x), F.concat(runs, one)).otherwise(F.concat(F.slice(runs, 1, F.size(runs) - 1), both))
+
+    return F.aggregate(bins, F.array().cast("array<struct<low:bigint,high:bigint,n:bigint,b:bigint,parts:bigint>>"), add)
+
+
+def templates(nodes: DataFrame) -> DataFrame:
+    """(host, skel, labelled, bad, template, above) of each (host, skel) of ``nodes``, which also has the counts pages, labelled and bad.
+
+    Level by level from each host's root, the labelled children of a node are
+    ordered by their share of bad pages and merged into branches of similar
+    ones: neighbours in this order stay together while their shares don't
+    differ significantly (a test of two shares). Children are summed to BINS
+    bins of that share first, so a node holds BINS rows however many children
+    it has. A branch of one child keeps its name; one of several is named * and
+    its lowest bin, which no skeleton holds, as it has no digits. Children
+    without any labelled page can't be told apart by labels and are one branch, ?.
+
+    above is the share of good pages that a template inherits: from the prior
+    down, each node on its way draws it toward its own share, with the weight
+    of its labelled pages times their share of all its pages. So a host mostly
+    labelled bad condemns its unlabelled branches, and a few labels don't.
+
+    Rounds end with the longest skeleton. A skeleton alone under its template
+    is settled at once, so rounds are only as many as levels shared.
     """
-    nodes = nodes.select("host", "skel", "labelled", "bad", F.lit("").alias("template"), (F.size("skel") == 0).alias("_done"))
+    prior = F.lit(GOOD / (GOOD + BAD))
+    nodes = nodes.select("host", "skel", "pages", "labelled", "bad", F.lit("").alias("template"), prior.alias("above"), (F.size("skel") == 0).alias("_done"))
     settled, level = [], 0
     while True:
-        settled.append(nodes.filter("_done").drop("_done"))
+        settled.append(nodes.filter("_done").drop("_done", "pages"))
         rows = nodes.filter("not _done").drop("_done")
-        if level == levels or rows.isEmpty():
+        if rows.isEmpty():
             break
         level += 1
         rows = rows.withColumn("part", F.element_at("skel", F.lit(level)))
-        children = rows.groupBy("host", "template", "part").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("_nodes"))
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("parts"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-        rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
-        pooled = F.try_divide("all_b", "all_n")
-        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "n") + F.try_divide(F.lit(1.0), rest_n)))
-        compared = (F.col("n") > 0) & (rest_n > 0)
-        alike = compared & (F.abs(F.try_divide("b", "n") - F.try_divide(rest_b, rest_n)) <= Z * error)
-        wide = (F.col("parts") > FANOUT) & (F.col("n") == 0) if fanout is None else F.col("parts") > fanout
-        name = F.when(wide | F.coalesce(alike, F.lit(False)), "*")
-        name = name.when(compared & (F.col("part") == "*"), "#") if fanout is None else name
-        named = children.join(parents, ["host", "template"]).select("host", "template", "part", name.otherwise(F.col("part")).alias("name"), "_nodes", "parts")
-        alone = (F.col("_nodes") == 1) & ((F.col("name") != "*") | (F.col("parts") == 1)) if levels is None and fanout is None else F.lit(False)
+        children = rows.groupBy("host", "template", "part").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.sum("pages").alias("p"), F.count("*").alias("_nodes"))
+        parents = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("p").alias("all_p"))
+        share = (F.col("b") + (GOOD + BAD) * F.try_divide("all_b", "all_n")) / (F.col("n") + (GOOD + BAD))
+        binned = children.join(parents, ["host", "template"]).withColumn("bin", F.when(F.col("n") > 0, F.least(F.floor(share * BINS), F.lit(BINS - 1))))
+        bins = binned.filter("n > 0").groupBy("host", "template", "bin").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("parts"))
+        runs = bins.groupBy("host", "template").agg(_clusters(F.array_sort(F.collect_list(F.struct("bin", "n", "b", "parts")))).alias("runs"))
+        own = F.get(F.filter("runs", lambda r: (r["low"] <= F.col("bin")) & (F.col("bin") <= r["high"])), F.lit(0))
+        name = F.when(F.col("n") == 0, "?").when(own["parts"] > 1, F.concat(F.lit("*"), own["low"].cast("string"))).otherwise(F.col("part"))
+        weight = F.col("all_n") / F.col("all_p")
+        named = binned.join(runs, ["host", "template"], "left").select("host", "template", "part", name.alias("name"), "_nodes", weight.alias("_w"), ((F.col("all_n") - F.col("all_b")) * weight).alias("_good"), (F.col("all_n") * weight).alias("_n"))
+        alone = (F.col("_nodes") == 1) & (F.col("name") == F.col("part"))
         rest = F.slice("skel", F.lit(level + 1), F.size("skel"))
         nodes = checkpointed(rows.join(named, ["host", "template", "part"]).select(
-            "host", "skel", "labelled", "bad", F.concat_ws("/", "template", "name", F.when(alone, rest)).alias("template"), (alone | (F.size("skel") == level)).alias("_done"),
+            "host", "skel", "pages", "labelled", "bad", F.concat_ws("/", "template", "name", F.when(alone, rest)).alias("template"),
+            smoothed(F.col("_good"), F.col("_n"), F.col("above")).alias("above"), (alone | (F.col("name") == "?") | (F.size("skel") == level)).alias("_done"),
         ))
-    settled.append(rows)
     return reduce(DataFrame.unionByName, settled)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", label: Column | None = None, most_broadcast: int = 50_000) -> DataFrame:
-    """``pages`` with _host, _path, _rule, _template, _purity and _verdict.
+    """(row, host, path, rule, template, purity, verdict) for each row of ``pages``, which is row as a struct, so no names clash.
 
     ``label`` is true for bad pages, false for good ones and null for others;
     without it, what a rule blocks is bad and what a rule allows is good. A
-    rule's action is final. Elsewhere the template decides: block where
-    (good + GOOD) / (labelled + GOOD + BAD) is under PURITY, so templates
-    without labels are allowed. Null urls and those without a scheme have
-    empty host and path and are judged like others. Each repeated row counts.
-    Pages are summed to (host, skeleton) before the tree is built, so the tree
-    never holds one row for each page, and a hot host is only hot in that sum.
+    rule's action is final. Elsewhere the template decides: block where its
+    labelled pages' share of good ones, smoothed by what it inherits from the
+    nodes above, is under PURITY. Null urls and those without a scheme have
+    empty host and path and are judged like others, and very long ones are
+    judged whole. Each repeated row counts; no rows give no rows. Pages are
+    summed to (host, skeleton) before the tree is built, so a hot host is only
+    hot in that sum, which is made in the map tasks first.
     """
-    rows = pages.select(F.struct("*").alias("_row"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"), *([label.alias("_label")] if label is not None else []))
-    rule, action = rule_of(F.col("_host"), F.col("_path"), rules)
-    rows = rows.select("*", rule.alias("_rule"), action.alias("_action"), skeleton(F.col("_path")).alias("_skel"))
-    bad = F.col("_label") if label is not None else F.col("_action") == "block"
-    nodes = rows.groupBy(F.col("_host").alias("host"), F.col("_skel").alias("skel")).agg(F.count(bad).alias("labelled"), F.count_if(bad).alias("bad"))
+    rows = pages.select(F.struct("*").alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), *([label.alias("label")] if label is not None else []))
+    rule, action = rule_of(F.col("host"), F.col("path"), rules)
+    rows = rows.select("*", rule.alias("rule"), action.alias("action"), skeleton(F.col("path")).alias("skel"))
+    bad = F.col("label") if label is not None else F.col("action") == "block"
+    nodes = rows.groupBy("host", "skel").agg(F.count("*").alias("pages"), F.count(bad).alias("labelled"), F.count_if(bad).alias("bad"))
     tree = templates(checkpointed(nodes))
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    purity = ((F.col("n") - F.col("b") + GOOD) / (F.col("n") + (GOOD + BAD))).alias("_purity")
-    judged = checkpointed(tree.join(sums, ["host", "template"]).select("host", "skel", F.col("template").alias("_template"), purity))
+    purity = smoothed(F.col("n") - F.col("b"), F.col("n"), F.col("above")).alias("purity")
+    judged = checkpointed(tree.join(sums, ["host", "template"]).select("host", "skel", "template", purity))
     judged = F.broadcast(judged) if judged.count() <= most_broadcast else judged
-    joined = rows.join(judged, (F.col("_host") == F.col("host")) & (F.col("_skel") == F.col("skel")), "left")
-    verdict = F.coalesce("_action", F.when(F.col("_purity") < PURITY, "block").otherwise("allow"))
-    return joined.select("_row.*", "_host", "_path", "_rule", "_template", "_purity", verdict.alias("_verdict"))
+    verdict = F.coalesce("action", F.when(F.col("purity") < PURITY, "block").otherwise("allow"))
+    return rows.join(judged, ["host", "skel"], "left").select("row", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
-    return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"), F.col("_template").alias("template"))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "template")

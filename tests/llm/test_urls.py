@@ -23,56 +23,99 @@ ODD = [None, "", "no scheme", "://", "http://", "http://A.Example.COM/en/7?x", "
 
 
 def test_hosts_paths_and_rules(spark):
-    rows = [(i, u, "x") for i, u in enumerate(ODD)]
-    got = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), U.RULES).collect()}
+    odd = [*ODD, "http://long.example.com/en/" + "x/" * 3000, "http://q.org/" + "y" * 100_000]
+    rows = [(i, u, "x") for i, u in enumerate(odd)]
+    judged = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), U.RULES)
+    got = {r.row.page_id: r for r in judged.collect()}
     for i, u, _ in rows:
-        assert (got[i]._host, got[i]._path) == split(u)
+        assert (got[i].host, got[i].path) == split(u) and got[i].row.host == "x"
         name, action = rule(*split(u))
-        assert got[i]._rule == name and got[i]._verdict == (action or "allow")
+        assert got[i].rule == name and (action is None or got[i].verdict == action)
 
 
-def tree(nodes, levels, fanout):
-    """The template of each (host, skeleton) by plain loops."""
+def tree(nodes):
+    """(template, purity) of each (host, skeleton) by plain loops."""
+    m = U.GOOD + U.BAD
     names = {k: "" for k in nodes}
-    for level in range(levels):
-        sums = {}
-        for (host, skel), (n, b) in nodes.items():
-            if len(skel) > level:
-                of = sums.setdefault((host, names[host, skel]), {}).setdefault(skel[level], [0, 0])
-                of[0] += n
-                of[1] += b
-        new = {}
-        for (host, skel) in nodes:
-            old = names[host, skel]
-            if len(skel) <= level:
-                new[host, skel] = old
-                continue
-            kids = sums[host, old]
-            n, b = kids[skel[level]]
-            N, B = sum(x[0] for x in kids.values()), sum(x[1] for x in kids.values())
-            alike = False
-            if n and N - n:
-                p = B / N
-                alike = abs(b / n - (B - b) / (N - n)) <= U.Z * math.sqrt(p * (1 - p) * (1 / n + 1 / (N - n)))
-            new[host, skel] = f"{old}/{'*' if len(kids) > fanout or alike else skel[level]}"
-        names = new
-    return names
+    above = {k: U.GOOD / m for k in nodes}
+    done = {k: not k[1] for k in nodes}
+    for level in range(max(len(s) for _, s in nodes)):
+        groups = {}
+        for k in nodes:
+            if not done[k]:
+                groups.setdefault((k[0], names[k]), {}).setdefault(k[1][level], []).append(k)
+        for (_, old), kids in groups.items():
+            sums = {part: [sum(nodes[k][j] for k in ks) for j in range(3)] for part, ks in kids.items()}
+            all_p, all_n, all_b = (sum(x[j] for x in sums.values()) for j in range(3))
+            bins = {}
+            for part, (_, n, b) in sums.items():
+                if n:
+                    bins.setdefault(min(U.BINS - 1, math.floor((b + m * all_b / all_n) / (n + m) * U.BINS)), []).append(part)
+            runs = []
+            for low in sorted(bins):
+                n, b = sum(sums[x][1] for x in bins[low]), sum(sums[x][2] for x in bins[low])
+                if runs:
+                    _, N, B, parts = runs[-1]
+                    p = (B + b) / (N + n)
+                    if abs(B / N - b / n) <= U.Z * math.sqrt(p * (1 - p) * (1 / N + 1 / n)):
+                        runs[-1] = (runs[-1][0], N + n, B + b, parts + bins[low])
+                        continue
+                runs.append((low, n, b, bins[low]))
+            new = {part: part if len(parts) == 1 else f"*{low}" for low, _, _, parts in runs for part in parts}
+            w = all_n / all_p
+            for part, ks in kids.items():
+                name = new.get(part, "?")
+                for k in ks:
+                    above[k] = ((all_n - all_b) * w + m * above[k]) / (all_n * w + m)
+                    alone = len(ks) == 1 and name == part
+                    names[k] = "/".join([old, name, *(k[1][level + 1 :] if alone else ())])
+                    done[k] = alone or name == "?" or len(k[1]) == level + 1
+    sums = {}
+    for k in nodes:
+        x = sums.setdefault((k[0], names[k]), [0, 0])
+        x[0] += nodes[k][1]
+        x[1] += nodes[k][2]
+    return {k: (names[k], (n - b + m * above[k]) / (n + m)) for k in nodes for n, b in [sums[k[0], names[k]]]}
 
 
 def test_tree_against_loops(spark):
     import random
 
+    from pyspark.sql import functions as F
+
     r = random.Random(6)
-    nodes = {}
-    for _ in range(300):
-        skel = tuple(r.choice(["a", "b", "c", "*", "d"]) for _ in range(r.randrange(0, 4)))
-        n = r.choice([0, 0, 3, 20])
-        bad = 0.9 if skel[:1] == ("a",) else 0.1
-        nodes[r.choice(["h", "g"]), skel] = (n, sum(r.random() < bad for _ in range(n)))
-    df = spark.createDataFrame([(h, list(s), n, b) for (h, s), (n, b) in nodes.items()], "host string, skel array<string>, labelled long, bad long")
-    for fanout in (64, 2):
-        got = {(x.host, tuple(x.skel)): x.template for x in U.templates(df, 4, fanout).collect()}
-        assert got == tree(nodes, 4, fanout)
+    for depth, parts in ((4, "abcd"), (9, "ab")):
+        nodes = {}
+        for _ in range(300):
+            skel = tuple(r.choice([*parts, "*"]) for _ in range(r.randrange(0, depth)))
+            n = r.choice([0, 0, 0, 3, 20])
+            bad = 0.9 if skel[depth // 2 : depth // 2 + 1] == ("a",) else 0.1
+            nodes[r.choice(["h", "g", "i"]), skel] = (n + r.randrange(1, 5), n, sum(r.random() < bad for _ in range(n)))
+        df = spark.createDataFrame([(h, list(s), *x) for (h, s), x in nodes.items()], "host string, skel array<string>, pages long, labelled long, bad long")
+        found = U.templates(df)
+        sums = found.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+        got = {(x.host, tuple(x.skel)): (x.template, round(x.p, 9)) for x in found.join(sums, ["host", "template"]).withColumn("p", U.smoothed(F.col("n") - F.col("b"), F.col("n"), F.col("above"))).collect()}
+        assert got == {k: (t, round(p, 9)) for k, (t, p) in tree(nodes).items()}
+
+
+def test_query_against_loops(spark):
+    import re
+
+    rows = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    nodes, at = {}, {}
+    for i, u in rows:
+        host, path = split(u)
+        name, action = rule(host, path)
+        skel = tuple(re.sub("[0-9]+", "*", "*" if re.fullmatch(r"(?=.*[0-9])[0-9A-Fa-f-]{8,}|.{40,}", x) else x) for x in path.split("/") if x)
+        p, n, b = nodes.get((host, skel), (0, 0, 0))
+        nodes[host, skel] = (p + 1, n + (action is not None), b + (action == "block"))
+        at[i] = (host, path, name, action, (host, skel))
+    found = tree(nodes)
+    want = {i: (h, p, n, a or ("block" if found[k][1] < U.PURITY else "allow"), found[k][0]) for i, (h, p, n, a, k) in at.items()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template) for r in U.op8_url_filter(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+    free = [v[3] for v in want.values() if v[2] is None]
+    assert 0 < free.count("block") < len(free)
 
 
 def test_impure_templates_are_rejected(spark):
@@ -80,7 +123,7 @@ def test_impure_templates_are_rejected(spark):
 
     rows = [(i, f"http://h.io/bad/{i}", True if i < 10 else None) for i in range(20)] + [(100 + i, f"http://h.io/good/{i}", False if i < 10 else None) for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, l boolean")
-    got = {r.page_id: r._verdict for r in U.judge_urls(df, [], label=F.col("l")).collect()}
+    got = {r.row.page_id: r.verdict for r in U.judge_urls(df, [], label=F.col("l")).collect()}
     assert got == {i: "block" if i < 100 else "allow" for i in got} and len(got) == 40
     assert U.judge_urls(df.limit(0), U.RULES).count() == 0
 
@@ -95,7 +138,7 @@ def test_a_bad_branch_survives_many_siblings(spark):
         rows += [(f"http://w.io/{x}/{i}", False) for x in names for i in range(20)]
         rows += [(f"http://w.io/x{x}/1", None) for x in names]
         df = spark.createDataFrame(rows, "url string, l boolean")
-        return {(r.url.split("/")[3], r._verdict) for r in U.judge_urls(df, [], label=F.col("l")).collect()}
+        return {(r.row.url.split("/")[3], r.verdict) for r in U.judge_urls(df, [], label=F.col("l")).collect()}
 
     for bad in ("spam", "2024"):
         for sections in (10, 90):
@@ -104,21 +147,10 @@ def test_a_bad_branch_survives_many_siblings(spark):
 
 
 def test_branches_below_the_fourth_segment(spark):
-    import random
-
     from pyspark.sql import functions as F
 
     kinds = {"/a/b/c/d/e/f/spam": True, "/a/b/c/d/e/f/docs": False, "/a/b/c/d/e/g": False, "/q/r/s/t/u/v/w/x/y/z": None}
     rows = [(f"http://d.io{k}/{i}", v if i < 30 else None) for k, v in kinds.items() for i in range(60)]
     df = spark.createDataFrame(rows, "url string, l boolean")
     for r in U.judge_urls(df, [], label=F.col("l")).collect():
-        assert r._verdict == ("block" if "/spam/" in r.url else "allow")
-
-    r = random.Random(8)
-    nodes = {}
-    for _ in range(300):
-        skel = tuple(r.choice("ab") for _ in range(r.randrange(0, 10)))
-        n = r.choice([0, 0, 3, 20])
-        nodes["h", skel] = (n, sum(r.random() < (0.9 if skel[6:7] == ("a",) else 0.1) for _ in range(n)))
-    df = spark.createDataFrame([(h, list(s), n, b) for (h, s), (n, b) in nodes.items()], "host string, skel array<string>, labelled long, bad long")
-    assert {(x.host, tuple(x.skel)): x.template for x in U.templates(df).collect()} == tree(nodes, 9, 64)
+        assert r.verdict == ("block" if "/spam/" in r.row.url else "allow")
