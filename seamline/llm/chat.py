@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: One character stands for each control, so that none begins another.
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
 @dataclass(frozen=True)
 class Template:
     """How turns are written. Texts have ``escape`` and ``controls`` replaced, so the marks below only occur as marks."""
@@ -30,9 +34,13 @@ class Template:
     })
     final: tuple = ("assistant",)
     escape: str = "\\"
-    #: Inside texts each is written as the escape character and its digit.
+    #: Inside texts each is written as the escape character and its own of DIGITS.
     controls: tuple = ("###", "</turn>", ": ")
 
+    def __post_init__(self):
+        if len(self.controls) > len(DIGITS) or not all(any(c in mark for c in self.controls) for mark in (self.head, self.after_role, self.end)):
+            raise ValueError("each mark needs a control that is escaped in texts, and there are at most as many controls as digits")
+
 
 def _replace(text: Column, what: str, by: str) -> Column:
     return F.replace(text, F.lit(what), F.lit(by))
@@ -40,21 +48,25 @@ def _replace(text: Column, what: str, by: str) -> Column:
 
 def escaped(text: Column, t: Template) -> Column:
     text = _replace(text, t.escape, t.escape * 2)
-    for i, c in enumerate(t.controls):
+    for i, c in zip(DIGITS, t.controls):
         text = _replace(text, c, f"{t.escape}{i}")
     return text
 
 
+def _literal(what: str) -> str:
+    """A pattern for just these characters."""
+    return "".join(c if c.isalnum() or ord(c) > 127 else f"\\{c}" for c in what)
+
+
 def unescaped(text: Column, t: Template) -> Column:
     """Every escape is two characters, so splitting at doubled escape characters from the left never cuts one apart."""
 
     def part(x: Column) -> Column:
-        for i, c in enumerate(t.controls):
+        for i, c in zip(DIGITS, t.controls):
             x = _replace(x, f"{t.escape}{i}", c)
         return x
 
-    doubled = "".join(f"\\{c}" for c in t.escape * 2)
-    return F.array_join(F.transform(F.split(text, doubled, -1), part), t.escape)
+    return F.array_join(F.transform(F.split(text, _literal(t.escape * 2), -1), part), t.escape)
 
 
 def final_state(roles: Column, t: Template) -> Column:
@@ -71,8 +83,8 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     Conversations with a wrong order are formatted too, valid being false.
     Rows go by turn, then role and text where turns tie; null turns come first.
     Null roles and texts count as empty, null conv_ids as one conversation,
-    repeated rows as turns of their own; other columns are ignored and no rows
-    give no rows. One conversation is one text, so its turns meet in one task.
+    repeated rows as turns of their own; very long texts are written whole;
+    other columns are ignored and no rows give no rows. One conversation is one text, so its turns meet in one task.
     """
     t = template
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -96,12 +108,12 @@ def read_chats(formatted: Column, template: Template = Template()) -> Column:
     roles = F.create_map(*(F.lit(x) for r, n in t.roles.items() for x in (n, r)))
 
     def turn(x: Column) -> Column:
-        at = F.locate(t.after_role, x)
+        at = F.locate(t.after_role, x, len(t.head) + 1)
         name = F.substring(x, F.lit(len(t.head) + 1), at - len(t.head) - 1)
         text = F.substring(x, at + len(t.after_role), F.length(x))
         return F.struct(F.coalesce(F.try_element_at(roles, name), unescaped(F.substring(name, F.lit(len(t.other) + 1), F.length(name)), t)).alias("role"), unescaped(text, t).alias("text"))
 
-    parts = F.split(formatted, t.end, -1)
+    parts = F.split(formatted, _literal(t.end), -1)
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 
 
@@ -123,7 +135,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     t = Template()
     written = f"replace({{}}, '{t.escape}', '{t.escape * 2}')"
-    for i, c in enumerate(t.controls):
+    for i, c in zip(DIGITS, t.controls):
         written = f"replace({written}, '{c}', '{t.escape}{i}')"
     name = f"case role {' '.join(f"when '{r}' then '{n}'" for r, n in t.roles.items())} else '{t.other}' || {written.format('role')} end"
     return rf"""

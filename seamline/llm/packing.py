@@ -109,10 +109,10 @@ class WordTokens:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of them that each text has."""
         rows, word, distinct = words_of(texts)
-        # A lone full stop or comma after letters is a token by itself, and case is dropped: fewer words to encode.
+        # A lone full stop or comma after letters that stay letters is a token by itself, and case is dropped: fewer words to encode.
         body = pc.utf8_slice_codeunits(distinct, 0, -1)
         stop = np.asarray(pc.ends_with(distinct, ".")).astype(np.int8) + 2 * np.asarray(pc.ends_with(distinct, ",")).astype(np.int8)
-        stop *= np.asarray(pc.utf8_is_alpha(body)).astype(np.int8)
+        stop *= ends_in_letter(body).astype(np.int8)
         stem = pc.if_else(pa.array(stop > 0), body, distinct)
         stem = pc.if_else(pc.ascii_is_alpha(stem), pc.ascii_lower(stem), stem).dictionary_encode()
         entry = self.entries(stem.dictionary.to_pylist())[np.asarray(stem.indices)]
@@ -132,6 +132,17 @@ class WordTokens:
         return np.asarray(found), np.diff(upto[last], prepend=0)
 
 
+def ends_in_letter(words: pa.Array) -> np.ndarray:
+    """Which words are letters alone, also as the tokenizer writes them: some letters become a letter and a mark, and a mark joins the sign after it."""
+    found = np.array(pc.utf8_is_alpha(words))
+    odd = np.flatnonzero(found & ~np.asarray(pc.string_is_ascii(words)))
+    if len(odd):
+        own = words.take(pa.array(odd))
+        # the one letter whose lower case is a letter and a mark
+        found[odd] = np.asarray(pc.utf8_is_alpha(pc.utf8_normalize(own, "NFC"))) & ~np.asarray(pc.match_substring(own, "\u0130"))
+    return found
+
+
 def cut(tokens: int, capacity: int, slack: int, cuts: int = 3) -> list[int]:
     """Lengths of a document's pieces: full bins, then reciprocal shares of one, then a rest.
 

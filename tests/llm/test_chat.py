@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from seamline.llm.chat import Template, format_chats, read_chats
@@ -37,5 +38,16 @@ def test_empty_table_and_own_template(spark):
     assert read(spark, []) == {}
     df = spark.createDataFrame([(1, 0, "q", "x<|e|>")], "conv_id long, turn long, role string, text string")
     own = Template(head="<|b|>", after_role="|", end="<|e|>", roles={"q": "Q"}, loss_roles=("q",), controls=("<|b|>", "<|e|>", "|"), moves={"start": {"q": "q"}}, final=("q",))
-    r = format_chats(df, own).withColumn("turns", F.expr("1")).first()
-    assert r.valid and r.formatted == "<|b|>Q|x\\1<|e|>"
+    r = format_chats(df, own).withColumn("turns", read_chats(F.col("formatted"), own)).first()
+    assert r.valid and r.formatted == "<|b|>Q|x\\1<|e|>" and [(x.role, x.text) for x in r.turns] == [("q", "x<|e|>")]
+
+
+def test_many_controls_and_marks_with_pattern_signs(spark):
+    controls = ("(+)", "[.*]", "$", *(f"<{k}>" for k in range(12)))
+    own = Template(head="(+)", after_role="$", end="[.*]", controls=controls, escape="^")
+    odd = "".join(controls) + "^0^^a^b<11><1>" + "x" * 300_000
+    df = spark.createDataFrame([(1, 0, "user", odd), (1, 1, "^r$", odd[::-1])], "conv_id long, turn long, role string, text string")
+    r = format_chats(df, own).withColumn("turns", read_chats(F.col("formatted"), own)).first()
+    assert [(x.role, x.text) for x in r.turns] == [("user", odd), ("^r$", odd[::-1])]
+    with pytest.raises(ValueError):
+        Template(end="|")

@@ -54,6 +54,38 @@ def test_small_capacity_and_empty_table(spark):
     assert pack(spark, []) == []
 
 
+def test_every_letter_before_a_stop_has_the_tokenizers_ids():
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.vocabulary())
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L" and (c < 0x3400 or 0xF900 <= c < 0x1FFFF or c % 97 == 0)]
+    texts = ["İ.", "Aİ, x İ. y", "\u0958, \ufb1d.", "ß. ẞ, ǆ. ŉ,"] + [" ".join(f"{x}. a{x}, {x}" for x in letters[k : k + 200]) for k in range(0, len(letters), 200)]
+    ids, counts = P.WordTokens(P.vocabulary())(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(counts)
+    for text, n, end in zip(texts, counts, ends):
+        assert ids[end - n : end].tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_query_has_the_tokenizers_ids(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    own, sf = Tokenizer.from_file(P.vocabulary()), "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = P.op3_harmonic_packing(spark, sf).collect()
+    seen = dict.fromkeys(texts, 0)
+    for r in rows:
+        ids = np.array([*own.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        seen[r.doc_id] += r.length
+    assert all(seen[d] == len(own.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts.items())
+
+
 def test_word_table_that_forgets():
     import pyarrow as pa
 
