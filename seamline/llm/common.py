@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
-
-    spark.checkpoint.dir wins. Only where neither it nor the context names a
-    folder (tests, one machine) one below the warehouse is used.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder the cluster shares."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(own or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only on one machine, where it is unset (tests), a folder below the warehouse stands in; on a cluster that is an error."""
+    sc = spark.sparkContext
+    own = sc.getConf().get("spark.checkpoint.dir")
+    if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (own or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint where rows hold texts."""
+    spark = df.sparkSession
+    folder = folder or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared ones that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def worker_path(spark: SparkSession) -> None:
     """Let Python workers import this package when it is run from a checkout."""
     import os
@@ -102,8 +122,3 @@ def word_hashes(distinct: pa.Array) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in distinct.cast(pa.large_binary())), np.uint64, len(distinct))
-
-
-def rows_kept_apart(df: DataFrame, *fields: str) -> DataFrame:
-    """Put a whole row into one struct, beside the named fields, so that other columns can't clash."""
-    return df.select(F.struct("*").alias("_row"), *(F.col(f).alias(f"_{f}") for f in fields))

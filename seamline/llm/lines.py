@@ -21,52 +21,55 @@ def lines_of(text: Column) -> Column:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(_host, key) for each different line of each page (_host, _text)."""
-    keys = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("_text")), line_key)))
-    return pages.withColumn("key", F.explode(keys)).drop("_text")
+    """(host, key) for each different line of each page (host, text, ...)."""
+    keys = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), line_key)))
+    return pages.withColumn("key", F.explode(keys)).drop("text")
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(_host, key) of lines on at least ``least_pages`` pages of a host and on more than ``ratio`` of them.
+    """(host, key) of lines on at least ``least_pages`` pages of a host and on more than ``ratio`` of them.
 
     Counts are summed in the map tasks first, so a host or a line that holds a
     third of all rows sends one row for each task. Host totals meet only lines
     that passed the page count.
     """
-    counts = page_lines(pages.select("_host", "_text")).groupBy("_host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    totals = pages.groupBy("_host").agg(F.count("*").alias("total"))
-    return counts.join(totals, "_host").filter(F.col("n") > F.col("total") * F.lit(ratio)).select("_host", "key")
+    counts = page_lines(pages.select("host", "text")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    return counts.join(totals, "host").filter(F.col("n") > F.col("total") * F.lit(ratio)).select("host", "key")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", id: str = "doc_id", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_broadcast: int = 50_000) -> DataFrame:
-    """``docs`` with the boilerplate lines of their host dropped from the text.
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_broadcast: int = 50_000) -> DataFrame:
+    """(row, text, n_lines, n_dropped) for each row of ``docs``, which is row as a struct, so no names clash.
 
-    Adds _n_lines (lines with a word) and _n_dropped; all other columns stay.
-    A null text stays null with no lines; pages without a host are a host of
-    their own. Every repeated row counts as a page. A text that loses all
-    lines becomes empty. No rows give no rows.
+    text is without the boilerplate lines of the row's host; n_lines counts
+    lines with a word and n_dropped those of them that went. A null text stays
+    null with no lines; pages without a host are a host of their own. Every
+    repeated row counts as a page. A text that loses all lines becomes empty; a
+    very long one is one page like others. No rows give no rows.
+
+    A host has at most 1 / ratio times the mean number of a page's lines as
+    boilerplate, so its list is one short row. Where all lists together have at
+    most ``most_broadcast`` lines they are broadcast and texts are filtered
+    where they are read. Else texts are joined to the lists by host, in which
+    join Spark splits a hot host's pages.
     """
-    pages = docs.select(F.struct("*").alias("_row"), F.col(id).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).cast("string").alias("_text"))
+    pages = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
     found = checkpointed(boilerplate(pages, ratio, least_pages))
-    found = F.broadcast(found) if found.count() <= most_broadcast else found
-    # A key found for a host is boilerplate in all its pages, so pages of one id may share their list.
-    hits = page_lines(pages.select("_id", "_host", "_text")).join(found, ["_host", "key"]).groupBy("_id", "_host").agg(F.collect_set("key").alias("_drop"))
-    hits = hits.withColumnsRenamed({"_id": "_hit_id", "_host": "_hit_host"})
-    joined = pages.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_host") == F.col("_hit_host")), "left")
-    drop = F.coalesce("_drop", F.array().cast("array<struct<a:bigint,b:int>>"))
-    kept = F.filter(lines_of(F.col("_text")), lambda line: ~F.coalesce(F.array_contains(drop, line_key(line)), F.lit(False)))
+    lists = found.groupBy("host").agg(F.collect_list("key").alias("drop"))
+    joined = pages.join(F.broadcast(lists) if found.count() <= most_broadcast else lists, "host", "left")
+    drop = F.coalesce("drop", F.array().cast("array<struct<a:bigint,b:int>>"))
+    kept = F.filter(lines_of(F.col("text")), lambda line: ~F.coalesce(F.array_contains(drop, line_key(line)), F.lit(False)))
     full = lambda lines: F.size(F.filter(lines, lambda line: F.trim(line).rlike(WORD)))
-    new = F.when(F.size(drop) == 0, F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(full(lines_of(F.col("_text"))))
-    n_left = F.when(F.col("_text").isNull(), 0).otherwise(full(kept))
-    columns = [new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("_n_lines"), (n_lines - n_left).cast("long").alias("_n_dropped"))
+    new = F.when(F.size(drop) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(full(lines_of(F.col("text"))))
+    n_left = F.when(F.col("text").isNull(), 0).otherwise(full(kept))
+    return joined.select("row", new.alias("text"), n_lines.cast("long").alias("n_lines"), (n_lines - n_left).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their source as host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return drop_boilerplate(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.md5("text").alias("text_md5"))
+    return drop_boilerplate(docs).select("row.doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
 SQL = rf"""

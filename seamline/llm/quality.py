@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, checkpointed, codes, table, text_slices, texts_of, utf8, words_of
+from .common import SPACE, checkpointed, codes, table, text_slices, texts_of, utf8, words_of, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_punct")
 
@@ -28,8 +28,8 @@ RULES = {
     "variety": ("1000 * n_distinct_words div nullif(n_words, 0)", "lower", 50),
 }
 SPREAD = 6
-#: Groups with fewer texts take the thresholds of their language, and of all texts if that has fewer too.
-LEAST = 30
+#: A group's limits are drawn to those of its language as if so many of its texts had these, and a language's to those of all texts.
+DRAWN = 30
 
 
 def _bytes_of(classes: str) -> np.ndarray:
@@ -124,15 +124,23 @@ def quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _limit(side: str, floor: int) -> str:
+    """A rule's limit in SQL from its quantiles; never below 0, as no measure is."""
+    return f"q50 + {SPREAD} * (q50 - q10) + {floor}" if side == "upper" else f"greatest(q50 - {SPREAD} * (q90 - q50) - {floor}, 0)"
+
+
+def _drawn(div: str) -> str:
+    """The limit of a group (n0 texts, limit l0) in SQL, drawn to that of its language (1), which is drawn to that of all (2); whole numbers, so every engine agrees."""
+    return f"(n0 * l0 + {DRAWN} * ((n1 * l1 + {DRAWN} * l2) {div} (n1 + {DRAWN}))) {div} (n0 + {DRAWN})"
+
+
 def thresholds(counts: DataFrame) -> DataFrame:
     """A row for each language and source with the limit of each rule."""
     sketches = checkpointed(sketch(counts))
-    quantile = ("total", "q10", "q50", "q90")
-    level = lambda n, *keys: quantiles(sketches, *keys).select(*keys, "rule", *(F.col(c).alias(f"{c}_{n}") for c in quantile))
-    joined = level(0, "lang", "source").join(level(1, "lang"), ["lang", "rule"]).join(level(2), "rule")
-    pick = lambda c: F.expr(f"case when total_0 >= {LEAST} then {c}_0 when total_1 >= {LEAST} then {c}_1 else {c}_2 end")
-    limit = {"upper": lambda f: pick("q50") + SPREAD * (pick("q50") - pick("q10")) + f, "lower": lambda f: pick("q50") - SPREAD * (pick("q90") - pick("q50")) - f}
-    return joined.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r, limit[side](floor))).alias(f"limit_{r}") for r, (_, side, floor) in RULES.items()))
+    limit = F.expr("case rule " + " ".join(f"when '{r}' then {_limit(side, floor)}" for r, (_, side, floor) in RULES.items()) + " end")
+    level = lambda n, *keys: quantiles(sketches, *keys).select(*keys, "rule", F.col("total").alias(f"n{n}"), limit.alias(f"l{n}"))
+    joined = level(0, "lang", "source").join(level(1, "lang"), ["lang", "rule"]).join(level(2), "rule").withColumn("own", F.expr(_drawn("div")))
+    return joined.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r, F.col("own"))).alias(f"limit_{r}") for r in RULES))
 
 
 def broadcast_if_small(small: DataFrame, most: int = 20_000) -> DataFrame:
@@ -151,7 +159,7 @@ def verdicts(counts: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Judge ``docs`` (doc_id, text, lang, source): doc_id, COUNTS, base_failed, kept.
+    """Judge ``docs`` (doc_id, text, lang, source): doc_id, COUNTS, base_failed, kept. Texts are measured whole, very long ones too.
 
     A null text has no words and fails the base rules; a null language or
     source counts as the empty string. Repeated rows get a row each and count
@@ -163,11 +171,15 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
-    need = docs.select("lang", "source", F.col("text").cast("string").alias("text"))
-    limits = checkpointed(thresholds(measured(need).drop("text")))
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they are.
+
+    Rows that pass the base rules are written with their counts, so each text
+    is measured once; the others can't be kept and are in no sketch.
+    """
     apart = docs.select(F.struct("*").alias("_row"), "lang", "source", F.col("text").cast("string").alias("text"))
-    return verdicts(measured(apart), broadcast_if_small(limits)).filter("kept").select("_row.*")
+    rows = written(measured(apart).drop("text").filter(~base_failed()))
+    limits = checkpointed(thresholds(rows))
+    return verdicts(rows, broadcast_if_small(limits)).filter("kept").select("_row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,16 +189,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     at = lambda q: f"min(case when upto * 100 >= total * {q} then floor_ end)"
     sql = lambda m: m.replace(" div ", " // ")
-    pick = lambda c: f"case when a.total >= {LEAST} then a.{c} when b.total >= {LEAST} then b.{c} else c.{c} end"
-    up = f"({pick('q50')}) + {SPREAD} * (({pick('q50')}) - ({pick('q10')}))"
-    low = f"({pick('q50')}) - {SPREAD} * (({pick('q90')}) - ({pick('q50')}))"
+    own = "case rule " + " ".join(f"when '{r}' then {_limit(side, f)}" for r, (_, side, f) in RULES.items()) + " end"
     levels = "".join(
         f", ranked{n} as (select {keys}rule, bucket, sum(n) as m from sketches group by all)"
-        f", quantiles{n} as (select {keys}rule, max(total) as total, {at(10)} as q10, {at(50)} as q50, {at(90)} as q90 from (select *, case when bucket < 64 then bucket else (bucket - 32 * (bucket // 32 - 1)) << (bucket // 32 - 1) end as floor_,"
-        f" sum(m) over (partition by {keys}rule order by bucket) as upto, sum(m) over (partition by {keys}rule) as total from ranked{n}) group by {keys}rule)"
+        f", quantiles{n} as (select {keys}rule, total as n{n}, {own} as l{n} from (select {keys}rule, max(total) as total, {at(10)} as q10, {at(50)} as q50, {at(90)} as q90 from (select *, case when bucket < 64 then bucket else (bucket - 32 * (bucket // 32 - 1)) << (bucket // 32 - 1) end as floor_,"
+        f" sum(m) over (partition by {keys}rule order by bucket) as upto, sum(m) over (partition by {keys}rule) as total from ranked{n}) group by {keys}rule))"
         for n, keys in enumerate(("lang, source, ", "lang, ", ""))
     )
-    limits = ", ".join(f"max(case when a.rule = '{r}' then {up + ' + ' + str(f) if side == 'upper' else low + ' - ' + str(f)} end) as limit_{r}" for r, (_, side, f) in RULES.items())
+    limits = ", ".join(f"max(case when a.rule = '{r}' then {_drawn('//')} end) as limit_{r}" for r in RULES)
     bad = " or ".join(f"coalesce({sql(m)} {'>' if side == 'upper' else '<'} limit_{r}, false)" for r, (m, side, _) in RULES.items())
     return rf"""
 with texts as (select row_number() over () as k, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),

@@ -17,13 +17,13 @@ def brute(rows, ratio, least):
 
 def test_against_brute_force(spark):
     rows = [(i, "a" if i % 3 else None, "\n".join(["menu ", f"body {i}", " menu", "", f"half {i % 2}", "\t"])) for i in range(30)]
-    rows += [(100, "a", None), (101, "b", ""), (102, "b", "menu"), (103, None, "x\r\ny"), (None, "a", "menu\nlast"), (0, None, "menu\nagain"), (104, "a", "menu")]
-    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, source string, text string, _n_lines_ int, key string")
+    rows += [(100, "a", None), (101, "b", ""), (102, "b", "menu"), (103, None, "x\r\ny"), (None, "a", "menu\nlast"), (0, None, "menu\nagain"), (104, "a", "menu"), (105, "b", "menu\n" + "very long " * 30_000 + "\n" * 999)]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, source string, text string, n_lines int, row string")
     for broadcast in (0, 1000):
         got = L.drop_boilerplate(df, ratio=0.6, least_pages=3, most_broadcast=broadcast)
-        assert got.columns == [*df.columns, "_n_lines", "_n_dropped"]
-        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute(rows, 0.6, 3), key=str)
-    whole = {r.doc_id: r.text for r in L.drop_boilerplate(df, ratio=0.6, least_pages=3).collect()}
+        assert [*got.columns, *got.select("row.*").columns] == ["row", "text", "n_lines", "n_dropped", *df.columns]
+        assert sorted(((r.row.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute(rows, 0.6, 3), key=str)
+    whole = {r.row.doc_id: r.text for r in L.drop_boilerplate(df, ratio=0.6, least_pages=3).collect()}
     assert whole[104] == "" and whole[100] is None
 
 

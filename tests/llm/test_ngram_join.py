@@ -60,6 +60,29 @@ def test_large_components_by_bucket_and_blocks(spark):
     assert run(spark, rows, block=6) == sorted(brute(rows), key=str)
 
 
+def test_components_with_hubs_and_long_paths(spark):
+    from seamline.llm.components import components
+
+    r = random.Random(4)
+    edges = [(0, k) for k in range(1, 300)] + [(k, 5000) for k in range(400, 600)] + [(k, k + 1) for k in range(1000, 1130)] + [(250, 450), (None, 3), (7, 7)]
+    edges += [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(300)]
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hub in (5, 100, 10_000):
+        assert {x.node: x.component for x in components(df, hub).collect()} == {k: find(k) for k in label}
+    assert components(df.limit(0)).count() == 0
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pytest
 
 from seamline.llm import packing as P
 
@@ -42,10 +41,10 @@ def test_every_id_once_in_order_and_gapless(spark):
     assert padding <= 0.03 * total
 
 
-@pytest.mark.parametrize("tokens", [*range(1, 5000, 7), 4096, 8192, 12289])
-def test_cut(tokens):
-    sizes = P.cut(tokens, 4096, 32)
-    assert sum(sizes) == tokens and max(sizes) <= 4096 and len(sizes) <= tokens // 4096 + 4
+def test_cut():
+    for tokens in [*range(1, 5000, 7), 4096, 8192, 12289]:
+        sizes = P.cut(tokens, 4096, 32)
+        assert sum(sizes) == tokens and max(sizes) <= 4096 and len(sizes) <= tokens // 4096 + 4
 
 
 def test_small_capacity_and_empty_table(spark):
