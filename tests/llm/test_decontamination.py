@@ -45,19 +45,50 @@ def test_search_against_plain_bm25(spark):
                     assert ((p, i) in got) == (score >= threshold)
 
 
-def test_matches_against_every_window():
-    items, docs = sample(2)
-    good = [x for x in items if D.plain_words(x[1])]
-    index = D.Index.of(good)
-    got = set(D.matches(pa.array(docs, pa.large_string()), index))
+def plain_matches(items, docs, whole):
+    """(text number, item id) to best score and overlaps: BM25 of every window by plain loops."""
+    split = {k: D.question_and_answer(t) for k, (_, t) in enumerate(items)}
+    mean, out = whole.words / whole.items, {}
     for i, d in enumerate(docs):
         words = D.plain_words(d)
-        for k, (_, text) in enumerate(good):
-            own = D.plain_words(text)
-            held = any(words[s : s + len(own)] == own for s in range(len(words) - len(own) + 1))
-            loose = D.overlap(index.questions[k], words) >= D.QUESTION and D.overlap(index.answers[k], words) >= D.ANSWER
-            assert not held or (i, k) in got
-            assert (i, k) not in got or loose
+        for k, (q, a) in split.items():
+            c = Counter(q + a)
+            w = {t: math.log(1 + (whole.items - whole.df[t] + 0.5) / (whole.df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, f in c.items()}
+            for s in range(0, max(1, len(words)), whole.span):
+                window = words[s : s + 2 * whole.span]
+                score = sum(x for t, x in w.items() if t in window) / sum(w.values())
+                found = score, D.overlap(q, window), D.overlap(a, window)
+                if score >= D.THRESHOLD - 1e-9 and found[1] >= D.QUESTION and found[2] >= D.ANSWER:
+                    out[i, items[k][0]] = max(out.get((i, items[k][0]), (0, 0, 0)), found)
+    return {k: tuple(round(x, 9) for x in v) for k, v in out.items()}
+
+
+def test_matches_against_plain_windows():
+    for seed in (2, 7):
+        items, docs = sample(seed)
+        good = [x for x in items if D.plain_words(x[1])]
+        counts = [Counter(w for part in D.question_and_answer(t) for w in part) for _, t in good]
+        whole = D.Whole(len(good), sum(sum(c.values()) for c in counts), max(sum(c.values()) for c in counts), Counter(t for c in counts for t in c))
+        index = D.Index.of(good)
+        got = {(r, index.ids[i]): tuple(round(x, 9) for x in v) for (r, i), v in D.matches(pa.array(docs, pa.large_string()), index).items()}
+        want = plain_matches(good, docs, whole)
+        assert got == want and len(got) > 20
+        # every text that holds an item as it is, is found
+        for i, d in enumerate(docs):
+            words = D.plain_words(d)
+            for k, text in good:
+                own = D.plain_words(text)
+                assert (i, k) in got or not any(words[s : s + len(own)] == own for s in range(len(words) - len(own) + 1))
+        # the same in parts
+        parts = [D.Index.of(good[k : k + 7], whole=whole) for k in range(0, len(good), 7)]
+        assert {(r, x.ids[i]): tuple(round(y, 9) for y in v) for x in parts for (r, i), v in D.matches(pa.array(docs, pa.large_string()), x).items()} == want
+
+
+def test_an_item_is_found_in_its_own_text_whatever_its_script():
+    items = [(1, "ΣΟΦΟΣ ΛΟΓΟΣ ΤΙΣ ΕΣΤΙΝ ΟΔΟΣ. ΟΥΔΕΙΣ ΟΙΔΕΝ ΟΔΟΣ."), (2, "İSTANBUL İL İÇİN NERESİ. İZMİR İLİ OLUR BU."), (3, "e\u0301te\u0301 ou hiver. C'est l\u2019e\u0301te\u0301, _oui_.")]
+    texts = [t for _, t in items] + [items[0][1].lower(), "x " * 50_000 + items[1][1] + " y" * 50_000]
+    index = D.Index.of(items)
+    assert {(r, index.ids[i]) for r, i in D.matches(pa.array(texts, pa.large_string()), index)} >= {(0, 1), (1, 2), (2, 3), (4, 2)}
 
 
 def test_tables(spark):
@@ -78,4 +109,8 @@ def test_blocks_of_items_cover_all(spark):
     items, docs = sample(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = next(D.indexes(bench))
-    assert [i for x in D.indexes(bench, most_items=7) for i in x.ids] == whole.ids
+    parts = list(D.indexes(bench, most_items=7))
+    assert [i for x in parts for i in x.ids] == whole.ids and max(len(x.ids) for x in parts) <= 7
+    assert {x.span for x in parts} == {whole.span}
+    impacts = lambda x: {(x.ids[i], t): round(float(v), 9) for k, t in enumerate(x.terms.to_pylist()) for i, v in zip(x.item[x.at[k] : x.at[k + 1]], x.impact[x.at[k] : x.at[k + 1]])}
+    assert {k: v for x in parts for k, v in impacts(x).items()} == impacts(whole)
