@@ -102,7 +102,7 @@ def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees:
 
     The lexicon is learned from four tenths of the training rows, the trees
     from four more and the calibration from the rest, so none of them sees what
-    an earlier step has learned by heart. A small part of the trees' own score
+    an earlier step has learned by heart. A thousandth of the trees' own score
     orders texts within a step of the calibration. Where training rows are
     missing or all of one class, the score is the smoothed share of toxic rows.
     Null and empty texts have features of zero and get a score; a null doc_id
@@ -126,7 +126,7 @@ def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees:
     value = F.col("own")
     if both(range(8, 10)):
         steps = IsotonicRegression(featuresCol="own", labelCol="toxic", predictionCol="step").fit(raw(fit.filter("part >= 8")).select("own", "toxic"))
-        scored, value = steps.transform(scored.drop("prediction")), 0.95 * F.col("step") + 0.05 * F.col("own")
+        scored, value = steps.transform(scored.drop("prediction")), 0.999 * F.col("step") + 0.001 * F.col("own")
     scored = scored.select(*out, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
