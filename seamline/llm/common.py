@@ -41,10 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint where rows hold texts."""
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint where rows hold texts, and the job's shuffle files go when it is written."""
     spark = df.sparkSession
     folder = folder or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

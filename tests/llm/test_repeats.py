@@ -52,6 +52,23 @@ def test_without_broadcasts(spark):
     assert run(spark, rows, most_broadcast=0) == brute(rows)
 
 
+def test_large_groups_are_split(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+    base = [word() for _ in range(90)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(5)):
+            w[r.randrange(90)] = word()
+        rows.append((i, " ".join(w)[r.randrange(120) :][: r.randrange(90, 900)]))
+    want = brute(rows)
+    assert run(spark, rows, most=2) == want and run(spark, rows, most=9, most_broadcast=0) == want
+    for name in ("SAMPLED", "HEAVY"):
+        monkeypatch.setattr(R, name, 1)
+    assert run(spark, rows, most=5) == want and run(spark, sample(1)) == brute(sample(1))
+
+
 def test_repeated_rows_and_empty_table(spark):
     r = random.Random(5)
     text = "".join(r.choice("abc") for _ in range(300))
