@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,7 +234,8 @@ def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two segments for each: one for the strings that start in the lower half of its columns, one for the rest.
 
     All strings of a half share more bytes than the anchor, and these make its
-    key, so a group of equal keys becomes several smaller ones.
+    key, so a group of equal keys becomes several smaller ones. Equal halves
+    become one here already.
     """
     import xxhash
 
@@ -252,20 +254,27 @@ def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((key, around, lo, hi, r["doc"], r["row"], at << 16 | LEFT - a << 8 | b - LEFT, own))
         columns = list(zip(*out)) if out else [()] * 8
         hashes = [np.array(c, np.uint64).view(np.int64) for c in columns[:2]]
-        yield _segments(*hashes, *(np.array(c, np.int64) for c in columns[2:7]), np.full(len(out), -1), pa.array(columns[7], pa.binary()))
+        halves = _segments(*hashes, *(np.array(c, np.int64) for c in columns[2:7]), np.full(len(out), -1), pa.array(columns[7], pa.binary()))
+        yield from _collapsed(pa.Table.from_batches([halves]))
+
+
+def _collapsed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Spans of segments equal to an earlier one, and the others. Spans are dealt anywhere."""
+    key, around, doc, row, packed = (np.asarray(t[c]) for c in ("key", "around", "doc", "row", "at"))
+    order, later = _later(key, around, doc, row, packed)
+    of = order[later]
+    at, left, right = _unpacked(packed[of])
+    zero = np.zeros(len(of), np.int64)
+    yield _segments(mix64(at.view(np.uint64)).view(np.int64), doc[of], zero, zero, doc[of], row[of], at - left, at + right, pa.nulls(len(of), pa.binary()))
+    yield from t.take(pa.array(order[~later])).combine_chunks().to_batches()
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments sorted by key: spans of those equal to an earlier one, and the others."""
+    """The same for segments sorted by key, of several tasks; their spans are passed on."""
     for t in whole_groups(batches, "key", 20_000):
-        key, around, doc, row, packed = (np.asarray(t[c]) for c in ("key", "around", "doc", "row", "at"))
-        order, later = _later(key, around, doc, row, packed)
-        of, until = order[later], t.schema.get_field_index("until")
-        at, left, right = _unpacked(packed[of])
-        spans = t.take(pa.array(of))
-        spans = spans.set_column(until, "until", pa.array(at + right)).set_column(until - 1, "at", pa.array(at - left)).set_column(until + 1, "bytes", pa.nulls(len(of), pa.binary()))
-        yield from spans.combine_chunks().to_batches()
-        yield from t.take(pa.array(order[~later])).combine_chunks().to_batches()
+        done = pa.array(np.asarray(t["until"]) >= 0)
+        yield from t.filter(done).combine_chunks().to_batches()
+        yield from _collapsed(t.filter(pc.invert(done)))
 
 
 BLOCK, PASS = 4_000, 42
