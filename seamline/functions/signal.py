@@ -1,303 +1,302 @@
-"""Signal features of traces as NumPy kernels over whole batches.
+"""Signal features of array columns.
 
-A kernel takes a matrix of traces of one length, a row each, and returns its
-columns. ``signal_features`` runs kernels over Arrow batches: rows of a batch
-are grouped by length, so no Python code runs for each sample.
+The Fourier transform is the one kernel that Spark lacks and comes from NumPy,
+for whole Arrow batches; all features are built-in functions over its arrays.
+Each function takes (id, a) columns of a table and returns a row for each array
+of at least 32 elements; null and shorter arrays are left out, and a feature
+that has no value is null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrays as A
+from .arrays import let
+
 #: Seconds between samples of a slice, and samples a second that spectra of whole traces assume: fixed values.
 INTERVAL, RATE = 8e-9, 15e6
 #: Decomposition low-pass filter of the Daubechies wavelet with four vanishing moments: fixed values.
-DB4 = np.array([
+DB4 = (
     -0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309,
     -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965,
-])
-TINY = 1e-12
-
-
-def analytic(x: np.ndarray) -> np.ndarray:
-    """Analytic signal of each row."""
-    n = x.shape[1]
-    keep = np.zeros(n)
-    keep[0] = 1
-    keep[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        keep[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(x, axis=1) * keep, axis=1)
-
-
-def instantaneous(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Envelope, quadrature, phase and phase steps of each row, rounded to 2 digits."""
-    z = analytic(x)
-    phase = np.angle(z)
-    return {"At": np.round(np.abs(z), 2), "Vt": np.round(z.imag, 2), "Pht": np.round(phase, 2), "Wt": np.round(np.diff(phase, axis=1), 2)}
-
-
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(b != 0, a / np.where(b == 0, 1, b), np.nan)
-
-
-def spectrum(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Area of the spectrum, mean frequency, quality (peak over the width at 0.7 of it) and their ratio; NaN under 3 samples."""
-    m, n = x.shape
-    if n < 3:
-        return {k: np.full(m, np.nan) for k in ("Sn", "wmf", "Qf", "Sn_wmf")}
-    size, f = np.abs(np.fft.rfft(x, axis=1)), np.fft.rfftfreq(n, INTERVAL)
-    area, mean = size.sum(axis=1) / n, _ratio(size @ f, size.sum(axis=1))
-    peak = size[:, 1:].argmax(axis=1) + 1
-    low = size < 0.7 * size[np.arange(m), peak][:, None]
-    place = np.arange(len(f))
-    left = np.where(low & (place <= peak[:, None]), place, -1).max(axis=1)
-    right = np.where(low & (place >= peak[:, None]), place, len(f)).min(axis=1)
-    width = f[np.where(right == len(f), len(f) - 1, right)] - f[np.maximum(left, 0)]
-    return {"Sn": area, "wmf": mean, "Qf": _ratio(f[peak], width), "Sn_wmf": _ratio(area, mean)}
-
-
-def _power(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = x.shape[1]
-    return np.fft.fftfreq(n, 1 / RATE)[: n // 2], (np.abs(np.fft.fft(x, axis=1)) ** 2)[:, : n // 2]
-
-
-def frequency(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Shape of the power spectrum: centre, band, high to low ratio, slope, entropy, strongest frequencies, moments."""
-    f, p = _power(x)
-    total = p.sum(axis=1)
-    centre = _ratio(p @ f, total)
-    strong = p > 0.5 * p[:, 1:].max(axis=1)[:, None]
-    band = np.where(strong, f, -np.inf).max(axis=1) - np.where(strong, f, np.inf).min(axis=1)
-    low = f < np.median(f)
-    lf, lp = np.log10(f[1:]), np.log10(np.maximum(p[:, 1:], 1e-300))
-    slope = ((lf - lf.mean()) * (lp - lp.mean(axis=1)[:, None])).sum(axis=1) / ((lf - lf.mean()) ** 2).sum()
-    q = p / np.maximum(total, 1e-300)[:, None]
-    top = np.argsort(p, axis=1, kind="stable")[:, ::-1][:, 1:4]
-    out = {"central": centre, "bandwidth": band, "high_low": _ratio(p[:, ~low].sum(axis=1), p[:, low].sum(axis=1)), "centroid": centre, "slope": slope, "entropy": -(q * np.log(np.where(q > 0, q, 1))).sum(axis=1)}
-    out |= {f"dominant_{k + 1}": f[top[:, k]] for k in range(3)}
-    return out | {f"moment_{k}": _ratio(p @ f**k, total) for k in (1, 2, 3)}
-
-
-def envelope(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Area, greatest value and its place, mean, deviation, skewness, kurtosis, peak factor and energy of thirds of the envelope."""
-    e = np.abs(analytic(x))
-    m, s = e.mean(axis=1), e.std(axis=1)
-    z = _ratio(e - m[:, None], s[:, None])
-    third = e.shape[1] // 3
-    out = {"area": np.trapezoid(e, axis=1), "max": e.max(axis=1), "time_to_max": e.argmax(axis=1).astype(float), "mean": m, "std": s, "skew": (z**3).mean(axis=1), "kurt": (z**4).mean(axis=1) - 3, "max_to_mean": _ratio(e.max(axis=1), m)}
-    return out | {f"energy_{k + 1}": (e[:, k * third : (k + 1) * third] ** 2).sum(axis=1) for k in range(3)}
+)
+TINY, LEAST = 1e-12, 32
+COMPLEX = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("re", "im")])
+
+
+def _transformed(a: pd.Series, f) -> pd.DataFrame:
+    out = pd.DataFrame({"re": None, "im": None}, index=a.index, dtype=object)
+    for n, part in a.groupby(a.map(lambda x: 0 if x is None else len(x))):
+        if n:
+            z = f(np.stack(part.to_list()))
+            out["re"] = out["re"].where(~out.index.isin(part.index), pd.Series(list(z.real), index=part.index))
+            out["im"] = out["im"].where(~out.index.isin(part.index), pd.Series(list(z.imag), index=part.index))
+    return out
 
 
-def autocorrelation(x: np.ndarray) -> dict[str, np.ndarray]:
-    """First minimum, value at lag 10, decay over 10 lags, integral, width at half height and ratio of lags 10 and 20."""
-    m, n = x.shape
-    size = 1 << (2 * n - 1).bit_length()
-    acf = np.fft.irfft(np.abs(np.fft.rfft(x, size, axis=1)) ** 2, size, axis=1)[:, :n]
-    place = np.arange(n)
-    dip = np.zeros((m, n), bool)
-    dip[:, 1:-1] = (acf[:, 1:-1] < acf[:, :-2]) & (acf[:, 1:-1] <= acf[:, 2:])
-    dip[:, -1] = acf[:, -1] < acf[:, -2]
-    first = np.where(dip.any(axis=1), dip.argmax(axis=1), np.nan)
-    k = min(10, n)
-    t = place[:k] - (k - 1) / 2
-    below = acf <= 0.5 * acf[:, :1]
-    out = {"first_minimum": first, "at_10": acf[:, 10] if n > 10 else np.full(m, np.nan), "decay": (acf[:, :k] @ t) / (t @ t), "integral": np.trapezoid(acf, axis=1)}
-    out["width"] = np.where(below.any(axis=1), below.argmax(axis=1), n - 1).astype(float)
-    return out | {"ratio": _ratio(acf[:, 10], acf[:, 20]) if n > 20 else np.full(m, np.nan)}
-
-
-def _histogram_entropy(x: np.ndarray, bins: int) -> np.ndarray:
-    low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
-    span = np.where(high > low, high - low, 1)
-    at = np.minimum(((x - np.where(high > low, low, low - 0.5)) / span * bins).astype(int), bins - 1)
-    counts = np.stack([(at == b).sum(axis=1) for b in range(bins)], axis=1) / x.shape[1]
-    return -(counts * np.log2(np.where(counts > 0, counts, 1))).sum(axis=1)
-
-
-def _alike(x: np.ndarray, width: int, reach: np.ndarray) -> np.ndarray:
-    """For each row of a matrix, which pairs of its windows differ by at most ``reach`` everywhere."""
-    w = np.lib.stride_tricks.sliding_window_view(x, width, axis=1)
-    return np.abs(w[:, :, None, :] - w[:, None, :, :]).max(axis=3) <= reach[:, None, None]
-
-
-def entropies(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Histogram entropy of the trace and of coarser ones, order patterns, approximate and sample entropy, spectral entropy."""
-    m, n = x.shape
-    out = {f"shannon_{s}": _histogram_entropy(x[:, : n // s * s].reshape(m, -1, s).mean(axis=2), 50) for s in range(1, 11) if n // s > 1}
-    order = np.argsort(np.lib.stride_tricks.sliding_window_view(x, 3, axis=1), axis=2, kind="stable")
-    code = order[:, :, 0] * 3 + order[:, :, 1]
-    share = np.stack([(code == c).mean(axis=1) for c in range(9)], axis=1)
-    out["permutation"] = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
-    reach = 0.2 * x.std(axis=1)
-    phi, pairs = [], []
-    for k in (2, 3):
-        near = np.concatenate([_alike(x[i : i + 8], k, reach[i : i + 8]).sum(axis=2) for i in range(0, m, 8)])
-        phi.append(np.log(near / near.shape[1]).mean(axis=1))
-        pairs.append((near[:, : n - 2] - 1).sum(axis=1))
-    out["approximate"] = np.abs(phi[1] - phi[0])
-    out["sample"] = -np.log(_ratio(pairs[1].astype(float), pairs[0].astype(float)))
-    q = np.abs(np.fft.fft(x, axis=1)) ** 2
-    q = q / q.sum(axis=1, keepdims=True)
-    return out | {"fourier": -(q * np.log2(q + TINY)).sum(axis=1), "hirschman": np.exp((q * np.log(q + TINY)).sum(axis=1))}
-
-
-def fractal(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Lacunarity, rescaled-range exponent and the singularity spectrum of detrended fluctuations."""
-    m, n = x.shape
-    total = np.concatenate([np.zeros((m, 1)), np.cumsum(x, axis=1)], axis=1)
-    masses = [total[:, w:] - total[:, :-w] for w in (2**i for i in range(1, int(np.log2(n))))]
-    out = {"lacunarity": np.mean([_ratio(b.var(axis=1), b.mean(axis=1) ** 2) for b in masses], axis=0)}
-    sizes, ranges = [w for w in (2**i for i in range(3, 12)) if w <= n // 2], []
-    for w in sizes:
-        part = x[:, : n // w * w].reshape(m, -1, w)
-        walk = np.cumsum(part - part.mean(axis=2, keepdims=True), axis=2)
-        ranges.append(np.nanmean(_ratio(walk.max(axis=2) - walk.min(axis=2), part.std(axis=2)), axis=1))
-    slope = lambda t, y: ((t - t.mean()) @ (y - y.mean(axis=0))) / ((t - t.mean()) ** 2).sum()
-    out["hurst"] = slope(np.log(sizes), np.log(np.stack(ranges))) if len(sizes) > 1 else np.full(m, np.nan)
-    walk, q = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1), np.linspace(-5, 5, 20)
-    scales = np.unique(np.logspace(1, np.log10(max(n // 2, 11)), 20).astype(int))
-    rows = []
-    for w in scales[scales <= n]:
-        part, t = walk[:, : n // w * w].reshape(m, -1, w), np.arange(w) - (w - 1) / 2
-        part = part - part.mean(axis=2, keepdims=True)
-        square = np.maximum((part**2).mean(axis=2) - (part @ t) ** 2 / (t @ t) / w, 1e-300)
-        rows.append(np.stack([np.mean(square ** (k / 2), axis=1) ** (1 / k) for k in q]))
-    h = np.stack([slope(np.log(scales[: len(rows)]), np.log(np.stack(rows)[:, k])) for k in range(len(q))])
-    tau = h * q[:, None] - 1
-    alpha = np.diff(tau, axis=0) / np.diff(q)[:, None]
-    f = q[:-1, None] * alpha - tau[:-1]
-    at = f.argmax(axis=0)
-    top = alpha[at, np.arange(m)]
-    return out | {
-        "mf_width": alpha.max(axis=0) - alpha.min(axis=0), "mf_position": top, "mf_asymmetry": _ratio(top - alpha[0], alpha[-1] - top), "mf_height": f.max(axis=0),
-        "mf_mean_alpha": alpha.mean(axis=0), "mf_mean_f": f.mean(axis=0), "mf_std_alpha": alpha.std(axis=0), "mf_std_f": f.std(axis=0),
-    }
-
-
-def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level of the wavelet transform with mirrored ends: approximation and detail."""
-    k = len(DB4)
-    ends = np.pad(x, ((0, 0), (k - 1, k - 1)), mode="symmetric")
-    high = DB4[::-1] * np.where(np.arange(k) % 2, 1.0, -1.0)
-    windows = np.lib.stride_tricks.sliding_window_view(ends, k, axis=1)[:, 1::2]
-    return windows @ DB4[::-1], windows @ high[::-1]
+@F.pandas_udf(COMPLEX)
+def fourier(a: pd.Series) -> pd.DataFrame:
+    """Discrete Fourier transform."""
+    return _transformed(a, lambda x: np.fft.fft(x, axis=1))
 
 
-def wavelet(x: np.ndarray, levels: int = 5) -> dict[str, np.ndarray]:
-    """Energy, mean, deviation, extremes and entropy of each level's coefficients, and ratios of energies."""
-    bands, rest = {}, x
-    for level in range(1, levels + 1):
-        rest, bands[f"D{level}"] = _halves(rest)
-    bands[f"A{levels}"] = rest
-    out = {}
-    for name, c in bands.items():
-        share = _ratio(np.abs(c), np.abs(c).sum(axis=1, keepdims=True))
-        z = _ratio(c - c.mean(axis=1, keepdims=True), c.std(axis=1, keepdims=True))
-        out |= {f"{name}_energy": (c**2).sum(axis=1), f"{name}_mean": c.mean(axis=1), f"{name}_std": c.std(axis=1), f"{name}_skew": (z**3).mean(axis=1), f"{name}_kurt": (z**4).mean(axis=1) - 3,
-                f"{name}_max": c.max(axis=1), f"{name}_min": c.min(axis=1), f"{name}_entropy": -(share * np.log(np.where(share > 0, share, 1))).sum(axis=1)}
-    for level in range(1, levels + 1):
-        out[f"D{level}_A{levels}"] = _ratio(out[f"D{level}_energy"], out[f"A{levels}_energy"])
-        if level < levels:
-            out[f"D{level}_D{level + 1}"] = _ratio(out[f"D{level}_energy"], out[f"D{level + 1}_energy"])
-    return out
+@F.pandas_udf(COMPLEX)
+def analytic(a: pd.Series) -> pd.DataFrame:
+    """Analytic signal: the array, and its quadrature."""
 
+    def f(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        keep = np.zeros(n)
+        keep[0] = 1
+        keep[1 : (n + 1) // 2] = 2
+        if n % 2 == 0:
+            keep[n // 2] = 1
+        return np.fft.ifft(np.fft.fft(x, axis=1) * keep, axis=1)
 
-def dct_matrix(n: int) -> np.ndarray:
-    """Orthonormal cosine transform as a matrix."""
-    k = np.arange(n)[:, None]
-    c = np.sqrt(2 / n) * np.cos(np.pi * (np.arange(n) + 0.5) * k / n)
-    c[0] /= np.sqrt(2)
-    return c
+    return _transformed(a, f)
 
 
-def mean_ranks(x: np.ndarray) -> np.ndarray:
-    """Ranks from 1 within each row, equal values sharing their mean rank."""
-    s = np.sort(x, axis=1)
-    left = np.stack([np.searchsorted(a, b, "left") for a, b in zip(s, x)])
-    right = np.stack([np.searchsorted(a, b, "right") for a, b in zip(s, x)])
-    return (left + right + 1) / 2
+def _long_enough(df: DataFrame, id: str, a: str) -> DataFrame:
+    return df.select(F.col(id).alias("id"), F.col(a).cast("array<double>").alias("a")).filter(F.size("a") >= LEAST)
 
 
-def rank_cepstrum(x: np.ndarray) -> np.ndarray:
-    """Ranks of the inverse cosine transform of the logarithm of the ranks of the cosine transform."""
-    c = dct_matrix(x.shape[1])
-    return mean_ranks(np.log(mean_ranks(x @ c.T)) @ c)
+def _ratio(x: Column, y: Column) -> Column:
+    return x / F.nullif(y, F.lit(0.0))
 
 
-def recurrence(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Share of the closest tenth of pairs of embedded points, of it on the first diagonal, and that diagonal's mean."""
-    w = np.lib.stride_tricks.sliding_window_view(x, 3, axis=1)
-    rate, determinism, diagonal = [], [], []
-    for e in w:
-        d = np.sqrt(((e[:, None] - e[None]) ** 2).sum(axis=2))
-        near = d < np.percentile(d, 10)
-        on = np.diagonal(near, 1)
-        rate.append(near.mean())
-        determinism.append(on.sum() / max(near.sum(), 1))
-        diagonal.append(on.mean())
-    return {"rate": np.array(rate), "determinism": np.array(determinism), "diagonal": np.array(diagonal)}
+def _places(a: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(a) - 1)
 
 
-def morphology(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Shares that erosion leaves and dilation makes of what lies above half the greatest value."""
-    on = np.pad(x > 0.5 * x.max(axis=1, keepdims=True), ((0, 0), (1, 1)))
-    count = on.sum(axis=1).astype(float)
-    eroded, grown = on[:, :-2] & on[:, 1:-1] & on[:, 2:], on[:, :-2] | on[:, 1:-1] | on[:, 2:]
-    return {"erosion": _ratio(eroded.sum(axis=1).astype(float), count), "dilation": _ratio(grown.sum(axis=1).astype(float), count)}
+def _at(a: Column, i: Column | int) -> Column:
+    return F.get(a, i if isinstance(i, Column) else F.lit(i))
+
+
+def _weighted(a: Column, f) -> Column:
+    """Sum of a[k] * f(k)."""
+    return A.total(F.transform(a, lambda x, k: x * f(k)))
+
+
+def _power(df: DataFrame, id: str, a: str) -> DataFrame:
+    """id, a, n and p, the squared sizes of all n frequencies."""
+    z = _long_enough(df, id, a).withColumn("z", fourier("a"))
+    return z.select("id", "a", F.size("a").alias("n"), F.zip_with("z.re", "z.im", lambda x, y: x * x + y * y).alias("p"))
+
+
+def instantaneous(df: DataFrame, id: str, a: str) -> DataFrame:
+    """id, At, Vt, Pht and Wt: envelope, quadrature, phase and phase steps, rounded to 2 digits."""
+    z = _long_enough(df, id, a).withColumn("z", analytic("a")).select("id", F.col("z.re").alias("x"), F.col("z.im").alias("y"))
+    phase = F.zip_with("y", "x", F.atan2)
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 2))
+    return z.select("id", rounded(F.zip_with("x", "y", lambda x, y: F.sqrt(x * x + y * y))).alias("At"), rounded("y").alias("Vt"), rounded(phase).alias("Pht"), rounded(let(phase, A.differences)).alias("Wt"))
+
+
+def spectrum(df: DataFrame, id: str, a: str, interval: float = INTERVAL) -> DataFrame:
+    """Sn, wmf, Qf, Sn_wmf: area of the amplitude spectrum, mean frequency, quality (peak over its width at 0.7) and area over mean."""
+    s = _power(df, id, a).select("id", "n", F.transform(F.slice("p", F.lit(1), F.floor(F.col("n") / 2).cast("int") + 1), F.sqrt).alias("s"))
+    f = lambda k: k / (F.col("n") * interval)
+    s = s.withColumn("peak", A.argmax(F.slice("s", F.lit(2), F.size("s"))) + 1)
+    s = s.withColumn("low", F.filter(_places(F.col("s")), lambda k: _at(F.col("s"), k) < 0.7 * _at(F.col("s"), F.col("peak").cast("int"))))
+    left = F.coalesce(F.array_max(F.filter("low", lambda k: k <= F.col("peak"))), F.lit(0))
+    right = F.coalesce(F.array_min(F.filter("low", lambda k: k >= F.col("peak"))), F.size("s") - 1)
+    s = s.select("id", (A.total(F.col("s")) / F.col("n")).alias("Sn"), _ratio(_weighted(F.col("s"), f), A.total(F.col("s"))).alias("wmf"), _ratio(F.col("peak"), (right - left).cast("double")).alias("Qf"))
+    return s.withColumn("Sn_wmf", _ratio(F.col("Sn"), F.col("wmf")))
+
+
+def frequency(df: DataFrame, id: str, a: str, rate: float = RATE) -> DataFrame:
+    """Shape of the power spectrum: centre, band, high to low ratio, slope, entropy, strongest frequencies but the first, moments."""
+    s = _power(df, id, a).select("id", "n", F.slice("p", F.lit(1), F.floor(F.col("n") / 2).cast("int")).alias("p"))
+    p, m, step = F.col("p"), F.size("p"), F.lit(rate) / F.col("n")
+    s = s.withColumns({"total": A.total(p), "strong": let(F.array_max(F.slice(p, F.lit(2), m)), lambda top: F.filter(_places(p), lambda k: _at(p, k) > 0.5 * top)), "order": F.reverse(F.array_sort(F.transform(p, lambda x, k: F.struct(x.alias("x"), k.alias("k")))))})
+    high, low = A.total(F.filter(p, lambda x, k: k * 2 >= m - 1)), A.total(F.filter(p, lambda x, k: k * 2 < m - 1))
+    points = F.transform(F.slice(p, F.lit(2), m), lambda x, k: F.struct(F.log10(k + 1).alias("f"), F.log10(F.greatest(x, F.lit(1e-300))).alias("y")))
+    s = s.withColumn("points", points)
+    mean = lambda c: A.mean(F.transform("points", lambda q: q[c]))
+    slope = let(mean("f"), lambda f0: let(mean("y"), lambda y0: A.total(F.transform("points", lambda q: (q["f"] - f0) * (q["y"] - y0))) / A.total(F.transform("points", lambda q: (q["f"] - f0) * (q["f"] - f0)))))
+    total = F.greatest("total", F.lit(1e-300))
+    moment = lambda j: _ratio(_weighted(p, lambda k: F.pow(k * step, F.lit(float(j)))), F.col("total"))
+    return s.select(
+        "id", moment(1).alias("central"), ((F.array_max("strong") - F.array_min("strong")) * step).alias("bandwidth"), _ratio(high, low).alias("high_low"), moment(1).alias("centroid"), slope.alias("slope"),
+        A.total(F.transform(p, lambda x: -x / total * F.ln(F.when(x > 0, x / total).otherwise(1.0)))).alias("entropy"),
+        *((_at(F.col("order"), j)["k"] * step).alias(f"dominant_{j}") for j in (1, 2, 3)), *(moment(j).alias(f"moment_{j}") for j in (1, 2, 3)),
+    )
 
 
-FAMILIES: dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]] = {
-    "spectrum": spectrum, "frequency": frequency, "envelope": envelope, "acf": autocorrelation, "entropy": entropies, "fractal": fractal, "wavelet": wavelet, "recurrence": recurrence, "morphology": morphology,
-}
+def envelope(df: DataFrame, id: str, a: str) -> DataFrame:
+    """Area, greatest value and its place, mean, deviation, skewness, kurtosis, peak factor and energy of thirds of the envelope."""
+    s = _long_enough(df, id, a).withColumn("z", analytic("a")).select("id", F.zip_with("z.re", "z.im", lambda x, y: F.sqrt(x * x + y * y)).alias("e"))
+    e, third = F.col("e"), F.floor(F.size("e") / 3).cast("int")
+    return s.select(
+        "id", A.trapezoid(e).alias("area"), F.array_max(e).alias("max"), A.argmax(e).cast("double").alias("time_to_max"), A.mean(e).alias("mean"), A.std(e).alias("std"), A.skewness(e).alias("skew"), A.kurtosis(e).alias("kurt"),
+        _ratio(F.array_max(e), A.mean(e)).alias("max_to_mean"), *(let(F.slice(e, third * k + 1, third), lambda t: A.dot(t, t)).alias(f"energy_{k + 1}") for k in range(3)),
+    )
+
+
+def autocorrelation(df: DataFrame, id: str, a: str) -> DataFrame:
+    """First minimum, value at lag 10, decay over 10 lags, integral, width at half height and ratio of lags 10 and 20."""
+    x = F.col("a")
+    s = _long_enough(df, id, a).select("id", F.transform(_places(x), lambda k: A.total(F.zip_with(F.slice(x, F.lit(1), F.size(x) - k), F.slice(x, k + 1, F.size(x) - k), lambda u, v: u * v))).alias("c"))
+    c, last = F.col("c"), F.size("c") - 1
+    dip = F.filter(F.sequence(F.lit(1), last), lambda k: (_at(c, k) < _at(c, k - 1)) & ((k == last) | (_at(c, k) <= _at(c, k + 1))))
+    below = F.filter(_places(c), lambda k: _at(c, k) <= 0.5 * _at(c, 0))
+    return s.select(
+        "id", _at(dip, 0).cast("double").alias("first_minimum"), _at(c, 10).alias("at_10"), (_weighted(F.slice(c, 1, 10), lambda k: k - 4.5) / 82.5).alias("decay"),
+        A.trapezoid(c).alias("integral"), F.coalesce(_at(below, 0), last).cast("double").alias("width"), _ratio(_at(c, 10), _at(c, 20)).alias("ratio"),
+    )
+
+
+def _near(x: Column, width: int, reach: Column) -> Column:
+    """For each window of ``width`` elements, how many windows differ by at most ``reach`` everywhere."""
+    starts = F.sequence(F.lit(0), F.size(x) - width)
+
+    def alike(i: Column, j: Column) -> Column:
+        found = F.lit(True)
+        for d in range(width):
+            found = found & (F.abs(_at(x, i + d) - _at(x, j + d)) <= reach)
+        return found
+
+    return F.transform(starts, lambda i: F.size(F.filter(starts, lambda j: alike(i, j))))
+
+
+def entropies(df: DataFrame, id: str, a: str, scales: int = 10) -> DataFrame:
+    """Histogram entropy of the array and of coarser ones, order patterns, approximate and sample entropy, spectral entropies."""
+    x, n = F.col("a"), F.col("n")
+    s = _power(df, id, a)
+    s = s.withColumns({"reach": 0.2 * A.std(x), "q": let(A.total(F.col("p")), lambda t: F.transform("p", lambda v: v / t))})
+    s = s.withColumns({"two": _near(x, 2, F.col("reach")), "three": _near(x, 3, F.col("reach"))})
+    coarse = lambda k: F.transform(F.sequence(F.lit(0), F.floor(n / k).cast("int") - 1), lambda i: A.mean(F.slice(x, i * k + 1, F.lit(k))))
+    shannon = lambda k: F.when(F.floor(n / k) > 1, let(coarse(k), lambda c: A.entropy(A.histogram(c, 50))))
+    phi = lambda c: A.mean(let(F.size(c), lambda m: F.transform(c, lambda v: F.ln(v / m))))
+    pairs = lambda c: A.total(F.transform(F.slice(c, F.lit(1), n - 2), lambda v: v - 1.0))
+    return s.select(
+        "id", *(shannon(k).alias(f"shannon_{k}") for k in range(1, scales + 1)), A.permutation_entropy(x).alias("permutation"), F.abs(phi("three") - phi("two")).alias("approximate"),
+        (-F.ln(_ratio(pairs("three"), pairs("two")))).alias("sample"), A.total(F.transform("q", lambda v: -v * F.log2(v + TINY))).alias("fourier"), F.exp(A.total(F.transform("q", lambda v: v * F.ln(v + TINY)))).alias("hirschman"),
+    )
+
 
+def slope(x: Column, y: Column) -> Column:
+    """Least-squares slope of y over x."""
+    return let(x, lambda u: let(y, lambda v: let(A.mean(u), lambda m: let(A.mean(v), lambda k: A.total(F.zip_with(u, v, lambda p, q: (p - m) * (q - k))) / F.nullif(A.total(F.transform(u, lambda p: (p - m) * (p - m))), F.lit(0.0))))))
 
-def _by_length(batch: pa.RecordBatch, array: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, matrix) for the lengths in a batch; null and empty arrays are left out."""
-    column = batch[array]
-    sizes = np.asarray(column.value_lengths().fill_null(0))
-    for n in np.unique(sizes[sizes > 0]).tolist():
-        rows = np.flatnonzero(sizes == n)
-        yield rows, np.asarray(column.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), n)
 
+def running(a: Column) -> Column:
+    """Running sums."""
+    return F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0.0)) + x))
 
-def signal_features(df: DataFrame, id: str, array: str, families: list[str]) -> DataFrame:
-    """(id, features map<string, double>) of each row's array by ``families``; NaN and infinite results are left out, as are arrays that are null or shorter than 32."""
-    key = df.schema[id]
-    out = T.StructType([key, T.StructField("features", T.MapType(T.StringType(), T.DoubleType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, x in _by_length(batch, array):
-                if x.shape[1] < 32:
-                    continue
-                with np.errstate(all="ignore"):
-                    columns = {f"{f}_{k}": v for f in families for k, v in FAMILIES[f](x).items()}
-                maps = [[(k, float(v[i])) for k, v in columns.items() if np.isfinite(v[i])] for i in range(len(rows))]
-                yield pa.RecordBatch.from_arrays([batch[id].take(pa.array(rows)), pa.array(maps, pa.map_(pa.string(), pa.float64()))], [id, "features"])
+def _cut(a: Column, w: Column) -> Column:
+    """Whole blocks of w elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / w).cast("int") - 1), lambda i: F.slice(a, i * w + 1, w))
+
+
+def fractal(df: DataFrame, id: str, a: str, orders: int = 20) -> DataFrame:
+    """Lacunarity, rescaled-range exponent and the singularity spectrum of detrended fluctuations."""
+    x, n = F.col("a"), F.size("a")
+    s = _long_enough(df, id, a).withColumns({"sums": F.concat(F.array(F.lit(0.0)), running(x)), "walk": let(A.mean(x), lambda m: running(F.transform(x, lambda v: v - m)))})
+    log2 = F.floor(F.log2(n.cast("double"))).cast("int")
+    powers = lambda low, high: F.transform(F.sequence(F.lit(low), high), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    mass = lambda s, w: F.zip_with(F.slice(s, w + 1, n + 1 - w), F.slice(s, F.lit(1), n + 1 - w), lambda u, v: u - v)
+    lacunarity = A.mean(let(F.col("sums"), lambda s: F.transform(powers(1, log2 - 1), lambda w: let(mass(s, w), lambda b: _ratio(A.moment(b, 2), let(A.mean(b), lambda m: m * m))))))
+    ranged = lambda b: let(let(A.mean(b), lambda m: running(F.transform(b, lambda v: v - m))), lambda r: _ratio(F.array_max(r) - F.array_min(r), A.std(b)))
+    sizes = F.filter(powers(3, F.lit(11)), lambda w: w <= F.floor(n / 2))
+    hurst = slope(F.transform(sizes, lambda w: F.ln(w)), F.transform(sizes, lambda w: F.ln(A.mean(F.array_compact(F.transform(_cut(x, w), ranged))))))
+    high = F.log10(F.greatest(F.floor(n / 2), F.lit(11)).cast("double"))
+    scales = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor(F.pow(F.lit(10.0), 1 + (high - 1) * k / 19) + 1e-9).cast("int")))
+    s = s.select("id", "walk", lacunarity.alias("lacunarity"), F.when(F.size(sizes) > 1, hurst).alias("hurst"), F.filter(scales, lambda w: w <= n).alias("scales"))
+
+    def rest(b: Column) -> Column:
+        """Mean square of a block about its own line."""
+        middle = (F.size(b) - 1) / 2.0
+        along = let(A.mean(b), lambda m: A.total(F.transform(b, lambda v, i: (v - m) * (i - middle))))
+        across = A.total(F.transform(b, lambda v, i: (i - middle) * (i - middle)))
+        return F.greatest(A.moment(b, 2) - along * along / across / F.size(b), F.lit(1e-300))
+
+    # let: a column that a lambda uses is computed once, not once for each element
+    s = s.withColumn("squares", let(F.col("walk"), lambda y: F.transform("scales", lambda w: F.transform(_cut(y, w), rest))))
+    q = F.array(*(F.lit(-5 + 10 * k / (orders - 1)) for k in range(orders)))
+    logs = lambda squares, k: F.transform(squares, lambda b: F.ln(F.pow(A.mean(F.transform(b, lambda v: F.pow(v, k / 2))), 1 / k)))
+    s = s.withColumn("h", let(F.transform("scales", lambda w: F.ln(w)), lambda x: let(F.col("squares"), lambda y: F.transform(q, lambda k: slope(x, logs(y, k))))))
+    s = s.withColumn("tau", F.zip_with("h", q, lambda h, k: h * k - 1))
+    s = s.withColumn("alpha", F.transform(let(F.col("tau"), A.differences), lambda d: d / (10 / (orders - 1))))
+    s = s.withColumn("f", let(F.col("tau"), lambda t: F.transform("alpha", lambda v, k: F.get(q, k) * v - F.get(t, k))))
+    alpha, f = F.col("alpha"), F.col("f")
+    top = F.get("alpha", A.argmax(f).cast("int"))
+    return s.select(
+        "id", "lacunarity", "hurst", (F.array_max(alpha) - F.array_min(alpha)).alias("mf_width"), top.alias("mf_position"), _ratio(top - _at(alpha, 0), F.element_at(alpha, -1) - top).alias("mf_asymmetry"), F.array_max(f).alias("mf_height"),
+        A.mean(alpha).alias("mf_mean_alpha"), A.mean(f).alias("mf_mean_f"), A.std(alpha).alias("mf_std_alpha"), A.std(f).alias("mf_std_f"),
+    )
+
+
+def _halves(a: Column) -> tuple[Column, Column]:
+    """One level of the wavelet transform with mirrored ends: approximation and detail."""
+    k = len(DB4)
+    ends = F.concat(F.reverse(F.slice(a, 1, k - 1)), a, F.reverse(F.slice(a, F.size(a) - k + 2, F.lit(k - 1))))
+    low = F.array(*(F.lit(x) for x in reversed(DB4)))
+    high = F.array(*(F.lit(x * (1 if i % 2 == 0 else -1)) for i, x in enumerate(DB4)))
+    starts = lambda e: F.sequence(F.lit(1), F.size(e) - k, F.lit(2))
+    filtered = lambda g: let(ends, lambda e: F.transform(starts(e), lambda i: A.dot(F.slice(e, i + 1, F.lit(k)), g)))
+    return filtered(low), filtered(high)
+
+
+def wavelet(df: DataFrame, id: str, a: str, levels: int = 5) -> DataFrame:
+    """Energy, mean, deviation, extremes and entropy of each level's coefficients, and ratios of energies."""
+    s = _long_enough(df, id, a).withColumn("rest", F.col("a"))
+    for level in range(1, levels + 1):
+        low, high = _halves(F.col("rest"))
+        s = s.withColumns({f"D{level}": high, "rest": low})
+    s = s.withColumnRenamed("rest", f"A{levels}")
+    bands = [*(f"D{k}" for k in range(1, levels + 1)), f"A{levels}"]
+    of = lambda b, c: {"energy": A.dot(c, c), "mean": A.mean(c), "std": A.std(c), "skew": A.skewness(c), "kurt": A.kurtosis(c), "max": F.array_max(c), "min": F.array_min(c), "entropy": let(A.total(F.transform(c, F.abs)), lambda t: A.total(F.transform(c, lambda v: -F.abs(v) / t * F.ln(F.when(v != 0, F.abs(v) / t).otherwise(1.0)))))}
+    s = s.select("id", *(v.alias(f"{b}_{k}") for b in bands for k, v in of(b, F.col(b)).items()))
+    pairs = [(f"D{k}", other) for k in range(1, levels + 1) for other in ([f"A{levels}"] + ([f"D{k + 1}"] if k < levels else []))]
+    return s.select("*", *(_ratio(F.col(f"{b}_energy"), F.col(f"{o}_energy")).alias(f"{b}_{o}") for b, o in pairs))
+
+
+def recurrence(df: DataFrame, id: str, a: str) -> DataFrame:
+    """Share of the closest tenth of pairs of embedded points (three elements in a row), of it on the first diagonal, and that diagonal's mean."""
+    x, last = F.col("a"), F.size("a") - 3
+    gap = lambda i, j: F.sqrt(sum(((_at(x, i + d) - _at(x, j + d)) * (_at(x, i + d) - _at(x, j + d)) for d in range(3)), F.lit(0.0)))
+    places = F.sequence(F.lit(0), last)
+    s = _long_enough(df, id, a).withColumn("d", F.transform(places, lambda i: F.transform(places, lambda j: gap(i, j))))
+    s = s.withColumn("all", F.array_sort(F.flatten("d"))).withColumn("place", 0.1 * (F.size("all") - 1))
+    low = F.floor("place").cast("int")
+    s = s.withColumn("limit", F.get("all", low) + (F.get("all", low + 1) - F.get("all", low)) * (F.col("place") - low))
+    near = F.size(F.filter("all", lambda v: v < F.col("limit"))).cast("double")
+    on = F.size(F.filter(F.sequence(F.lit(0), F.size("d") - 2), lambda i: F.get(F.get("d", i), i + 1) < F.col("limit"))).cast("double")
+    return s.select("id", (near / F.size("all")).alias("rate"), (on / F.greatest(near, F.lit(1.0))).alias("determinism"), (on / (F.size("d") - 1)).alias("diagonal"))
+
+
+def morphology(df: DataFrame, id: str, a: str) -> DataFrame:
+    """Shares that erosion leaves and dilation makes of what lies above half the greatest value."""
+    s = _long_enough(df, id, a).select("id", let(F.array_max("a"), lambda m: F.transform("a", lambda x: x > 0.5 * m)).alias("on"))
+    on = lambda i: F.coalesce(F.get("on", i), F.lit(False))
+    count = F.size(F.filter("on", lambda v: v)).cast("double")
+    kept, grown = (F.size(F.filter(_places(F.col("on")), f)).cast("double") for f in (lambda i: on(i - 1) & on(i) & on(i + 1), lambda i: on(i - 1) | on(i) | on(i + 1)))
+    return s.select("id", _ratio(kept, count).alias("erosion"), _ratio(grown, count).alias("dilation"))
+
 
-    return df.select(id, array).mapInArrow(run, out)
+def cosines(a: Column, back: bool = False) -> Column:
+    """Orthonormal cosine transform, or its inverse."""
 
+    def one(n: Column, k: Column) -> Column:
+        scale = lambda j: F.when(j == 0, F.sqrt(1 / n)).otherwise(F.sqrt(2 / n))
+        turn = lambda j, i: F.cos(math.pi * (i + 0.5) * j / n)
+        return _weighted(a, (lambda i: scale(i) * turn(i, k)) if back else (lambda i: scale(k) * turn(k, i)))
 
-def signal_arrays(df: DataFrame, id: str, array: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    """(id, an array column for each name) by a kernel that returns matrices."""
-    kind = T.ArrayType(T.DoubleType())
-    out = T.StructType([df.schema[id], *(T.StructField(n, kind) for n in names)])
+    return let(F.size(a).cast("double"), lambda n: F.transform(_places(a), lambda k: one(n, k)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, x in _by_length(batch, array):
-                made = kernel(x)
-                yield pa.RecordBatch.from_arrays([batch[id].take(pa.array(rows)), *(pa.array(list(made[n]), pa.list_(pa.float64())) for n in names)], [id, *names])
 
-    return df.select(id, array).mapInArrow(run, out)
+def rank_cepstrum(df: DataFrame, id: str, a: str) -> DataFrame:
+    """id and CRL: ranks of the inverse cosine transform of the logarithm of the ranks of the cosine transform."""
+    ranks = let(let(F.transform(let(cosines(F.col("a")), A.ranks), F.ln), lambda r: cosines(r, back=True)), A.ranks)
+    return _long_enough(df, id, a).select("id", ranks.alias("CRL"))
 
 
-def crl(x: np.ndarray) -> dict[str, np.ndarray]:
-    return {"CRL": rank_cepstrum(x)}
+FAMILIES = {"spectrum": spectrum, "frequency": frequency, "envelope": envelope, "acf": autocorrelation, "entropy": entropies, "fractal": fractal, "wavelet": wavelet, "recurrence": recurrence, "morphology": morphology}

@@ -1,46 +1,55 @@
 import numpy as np
+import plain_signal as P
 import pytest
 
 from seamline.functions import signal as G
 
+PLAIN = {"spectrum": P.spectrum, "frequency": P.frequency, "envelope": P.envelope, "acf": P.autocorrelation, "entropy": P.entropies, "fractal": P.fractal, "wavelet": P.wavelet, "recurrence": P.recurrence, "morphology": P.morphology}
 
-def cosine(n=64, k=5):
-    return np.cos(2 * np.pi * k * np.arange(n) / n)[None]
 
+def arrays():
+    rng = np.random.default_rng(3)
+    out = [rng.normal(size=n) + np.sin(np.arange(n) / 3) for n in (64, 64, 64, 100, 33)]
+    return [*out, 5 + np.cos(2 * np.pi * 5 * np.arange(64) / 64) + 0.01 * rng.normal(size=64)]
 
-def test_envelope_of_a_cosine_is_one():
-    assert np.allclose(np.abs(G.analytic(cosine())), 1)
-    assert np.allclose(G.envelope(cosine(63))["mean"], np.abs(G.analytic(cosine(63))).mean())
 
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if a is None else [float(x) for x in a], "x") for i, a in enumerate(rows)], "vec_id long, a array<double>, n string")
 
-def test_spectrum_peaks_at_the_frequency():
-    f = G.frequency(cosine())
-    assert f["central"][0] == pytest.approx(5 * G.RATE / 64)
-    assert np.isnan(G.spectrum(np.ones((2, 2)))["Sn"]).all()
 
+@pytest.mark.parametrize("family", sorted(PLAIN))
+def test_family_against_numpy(spark, family):
+    rows = [*arrays(), None, [], [1.0] * 8]
+    got = {r.id: r.asDict() for r in G.FAMILIES[family](table(spark, rows), "vec_id", "a").collect()}
+    assert set(got) == set(range(6))
+    for i, a in enumerate(arrays()):
+        with np.errstate(all="ignore"):
+            want = {k: float(v[0]) for k, v in PLAIN[family](a[None]).items()}
+        mine = {k: v for k, v in got[i].items() if k != "id"}
+        assert set(want) <= set(mine)
+        for k, v in want.items():
+            assert (mine[k] is None and not np.isfinite(v)) or mine[k] == pytest.approx(v, rel=1e-6, abs=1e-8), (i, k)
 
-def test_wavelet_keeps_energy():
-    assert (G.DB4**2).sum() == pytest.approx(1) and G.DB4.sum() == pytest.approx(2**0.5)
-    x = np.zeros((1, 256))
-    x[0, 100:150] = np.random.default_rng(1).normal(size=50)
-    low, high = G._halves(x)
-    assert (low**2).sum() + (high**2).sum() == pytest.approx((x**2).sum())
-    assert np.allclose(G._halves(np.ones((1, 64)))[1], 0)
+
+def test_constant_arrays_have_features(spark):
+    df = table(spark, [[2.0] * 40])
+    for f in G.FAMILIES.values():
+        assert f(df, "vec_id", "a").count() == 1
 
 
-def test_cosine_transform_is_orthonormal_and_ranks_share():
-    assert np.allclose(G.dct_matrix(16) @ G.dct_matrix(16).T, np.eye(16))
-    assert G.mean_ranks(np.array([[3.0, 1.0, 3.0, 2.0]])).tolist() == [[3.5, 1.0, 3.5, 2.0]]
+def test_attributes_and_cepstrum_against_numpy(spark):
+    df = table(spark, arrays())
+    for r in G.instantaneous(df, "vec_id", "a").collect():
+        for k, v in P.instantaneous(arrays()[r.id][None]).items():
+            assert np.allclose(r[k], v[0], atol=0.0101)
+    for r in G.rank_cepstrum(df, "vec_id", "a").collect():
+        assert r.CRL == P.rank_cepstrum(arrays()[r.id][None])[0].tolist()
 
 
-def test_acf_matches_numpy():
-    x = np.random.default_rng(2).normal(size=(3, 40))
-    full = [np.correlate(r, r, "full")[39:] for r in x]
-    got = G.autocorrelation(x)
-    assert np.allclose(got["at_10"], [f[10] for f in full]) and np.allclose(got["integral"], [np.trapezoid(f) for f in full])
+def test_envelope_of_a_cosine_is_one(spark):
+    r = G.envelope(table(spark, [np.cos(2 * np.pi * 5 * np.arange(64) / 64)]), "vec_id", "a").first()
+    assert r.mean == pytest.approx(1) and r.std == pytest.approx(0, abs=1e-9)
 
 
-def test_features_leave_out_nulls_and_short_arrays(spark):
-    df = spark.createDataFrame([(1, [float(i % 7) for i in range(64)]), (2, None), (3, []), (4, [1.0] * 8), (5, [2.0] * 40)], "id long, a array<double>")
-    got = {r.id: r.features for r in G.signal_features(df, "id", "a", list(G.FAMILIES)).collect()}
-    assert set(got) == {1, 5} and all(np.isfinite(list(v.values())).all() for v in got.values())
+def test_wavelet_keeps_energy():
+    assert sum(x * x for x in G.DB4) == pytest.approx(1) and sum(G.DB4) == pytest.approx(2**0.5)
