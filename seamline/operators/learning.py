@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 
 def _bad(c: str) -> Column:
     return F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
@@ -27,8 +29,8 @@ def finite_report(df: DataFrame, features: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
     """What isn't finite takes the exact median of its column."""
-    medians = df.agg(*(F.percentile(F.when(~_bad(c), F.col(c)), F.lit(0.5)).alias(f"_m_{c}") for c in features))
-    return df.join(F.broadcast(medians)).select(*(c for c in df.columns if c not in features), *(F.when(_bad(c), F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for c in features))
+    median = exact_quantiles(df, features, [0.5])
+    return df.select(*(c for c in df.columns if c not in features), *(F.when(_bad(c), F.lit(median[c][0])).otherwise(F.col(c)).alias(c) for c in features))
 
 
 def moments(df: DataFrame, features: list[str]) -> DataFrame:
@@ -68,8 +70,9 @@ def scaled(df: DataFrame, features: list[str], mode: str) -> DataFrame:
     if mode == "standard":
         stats = df.agg(*(F.avg(c).alias(f"_c_{c}") for c in features), *(F.stddev_pop(c).alias(f"_s_{c}") for c in features))
     else:
-        q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in features}
-        stats = df.agg(*(q[c][1].alias(f"_c_{c}") for c in features), *((q[c][2] - q[c][0]).alias(f"_s_{c}") for c in features))
+        q = exact_quantiles(df, features, [0.25, 0.5, 0.75])
+        width = {c: (q[c][2] or 0.0) - (q[c][0] or 0.0) for c in features}
+        return df.withColumns({c: (F.col(c) - F.lit(q[c][1])) / F.lit(width[c] if width[c] > 0 else 1.0) for c in features})
     out = {c: (F.col(c) - F.col(f"_c_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in features}
     return df.join(F.broadcast(stats)).withColumns(out).select(*df.columns)
 
@@ -123,9 +126,13 @@ def clip01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def candidate_score(silhouette: Column, davies_bouldin: Column, calinski_harabasz: Column) -> Column:
-    """0.4 of the silhouette, 0.3 each of the other two, all brought to 0 to 1; null where one is missing."""
-    return 0.4 * clip01((silhouette + 1) / 2) + 0.3 * clip01(1 / (1 + davies_bouldin)) + 0.3 * clip01(calinski_harabasz / (calinski_harabasz + 1000))
+def candidate_score(silhouette: Column, davies_bouldin: Column, calinski_harabasz: Column, noise: Column | None = None, clusters: Column | None = None) -> Column:
+    """0.4 of the silhouette, 0.3 each of the other two, all brought to 0 to 1, less what a large share of noise and too few or too many clusters cost; null where a measure is missing."""
+    score = 0.4 * clip01((silhouette + 1) / 2) + 0.3 * clip01(1 / (1 + F.greatest(davies_bouldin, F.lit(0.0)))) + 0.3 * clip01(calinski_harabasz / (calinski_harabasz + 1000))
+    share, k = clip01(F.lit(0.0) if noise is None else F.coalesce(noise, F.lit(0.0))), F.lit(3) if clusters is None else clusters
+    cost = F.when(share > 0.3, F.least(F.lit(0.2), (share - 0.3) * 0.4)).otherwise(0.0)
+    cost += F.when(k < 2, 0.3).when(k == 2, 0.05).when(k > 12, F.least(F.lit(0.2), (k - 12) * 0.02)).otherwise(0.0)
+    return F.greatest(F.lit(0.0), score - cost)
 
 
 def cluster_profile(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -158,12 +165,47 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: str = "42")
     return df.join(groups.select(group, F.pmod(place, F.lit(k)).cast("long").alias("fold")), group)
 
 
+def in_ranges(df: DataFrame, order: Column, sums: list[str]) -> tuple[DataFrame, W]:
+    """``df`` cut into ranges of ``order``, with the sums of all earlier ranges as _before_, and the window of what comes up to a row within its range.
+
+    A running sum over all rows then needs no task that sees them all: only one
+    row for each range passes through one.
+    """
+    cut = checkpointed(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    earlier = cut.groupBy("_range").agg(*(F.sum(c).alias(c) for c in sums)).select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    within = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cut.join(F.broadcast(earlier), "_range"), within
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of each column over all its finite values.
+
+    Counts of each value are summed in the map tasks, and ranks come from sums
+    over ranges of values, so no task holds a whole column.
+    """
+    values = df.select(*(F.when(~_bad(c), F.col(c).cast("double")).alias(c) for c in columns)).unpivot([], columns, "_c", "_x").filter("_x is not null")
+    counts, upto = in_ranges(values.groupBy("_c", "_x").agg(F.count("*").alias("_n")), F.struct("_c", "_x"), ["_n"])
+    ends = counts.withColumn("_end", F.sum("_n").over(upto) + F.col("_before__n"))
+    total = {r._c: (r.low, r.n) for r in ends.groupBy("_c").agg(F.min(F.col("_end") - F.col("_n")).alias("low"), F.sum("_n").alias("n")).collect()}
+    wanted = {(c, q): low + q * (n - 1) for c, (low, n) in total.items() for q in shares}
+    ranks = sorted({int(math.floor(r)) + d for r in wanted.values() for d in (0, 1)})
+    hits = ends.select("_x", F.explode(F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))).alias("r")) if ranks else None
+    at = {r.r: r._x for r in hits.collect()} if ranks else {}
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    for (c, q), rank in wanted.items():
+        low = math.floor(rank)
+        out[c][shares.index(q)] = at[low] + (at[low + 1] - at[low]) * (rank - low) if rank > low else at[low]
+    return out
+
+
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, tpr and fpr at each distinct score, from counts by score."""
     counts = df.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    upto = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts, upto = in_ranges(counts, F.desc(score), ["p", "n"])
     total = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return counts.select(score, F.sum("p").over(upto).alias("p"), F.sum("n").over(upto).alias("n")).join(F.broadcast(total)).select(F.col(score).alias("threshold"), F.try_divide("p", "all_p").alias("tpr"), F.try_divide("n", "all_n").alias("fpr"))
+    return counts.select(score, *((F.sum(c).over(upto) + F.col(f"_before_{c}")).alias(c) for c in "pn")).join(F.broadcast(total)).select(F.col(score).alias("threshold"), F.try_divide("p", "all_p").alias("tpr"), F.try_divide("n", "all_n").alias("fpr"))
+
 
 
 def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -193,5 +235,5 @@ def search_space(clusters: list[int], scalers: list[str], projections: list[floa
 
 
 def sample_size(n: int, k: int, most: int = 5000, least: int = 400) -> int:
-    """Rows of a silhouette's sample: 24 sqrt(n) k, within bounds."""
-    return min(most, n, max(least, int(24 * math.sqrt(max(n, 0)) * max(k, 1))))
+    """Rows of a silhouette's sample: 24 sqrt(n) k for at least two clusters, within bounds; a coarse stage takes ``most`` as 1,500."""
+    return min(most, max(least, int(24 * math.sqrt(max(n, 1)) * max(k, 2))))

@@ -92,13 +92,14 @@ def separation(spark, sf_dir):
 
 def silhouette(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
-    sample = t.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("42")))).limit(L.sample_size(500, 10, most=200))
+    size = t.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
+    sample = t.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("42")))).limit(L.sample_size(size.n, size.k))
     return L.silhouette(t, "a", "label", "vec_id", sample).select("vec_id", rounded("s").alias("s"))
 
 
 def candidate_scores(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("s"), (F.col("p_retailprice") / 500.0).alias("d"), (F.col("p_partkey") * 1.0).alias("c"))
-    return p.select("p_partkey", rounded(L.candidate_score(F.col("s"), F.col("d"), F.col("c"))).alias("score"))
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("s"), (F.col("p_retailprice") / 500.0).alias("d"), (F.col("p_partkey") * 1.0).alias("c"), (F.col("p_partkey") % 97 / 96.0).alias("noise"), (F.col("p_partkey") % 25).alias("k"))
+    return p.select("p_partkey", rounded(L.candidate_score(F.col("s"), F.col("d"), F.col("c"), F.col("noise"), F.col("k"))).alias("score"))
 
 
 def cluster_profile(spark, sf_dir):
@@ -162,9 +163,10 @@ QUERIES = {
         d as (select r.k, sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2)) as d from r join c using (k)), s as (select k, avg(d) as s, sum(d * d) as w from d group by 1), t as (select avg(x) as gx, avg(y) as gy, avg(z) as gz from r),
         p as (select a.k, max((sa.s + sb.s) / sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2) + power(a.cz - b.cz, 2))) as r from c a join c b on a.k <> b.k join s sa on sa.k = a.k join s sb on sb.k = b.k group by 1)
         select count(*) as clusters, round((sum(n * (power(cx - gx, 2) + power(cy - gy, 2) + power(cz - gz, 2))) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 3) as calinski_harabasz, round((select avg(r) from p), 6) as davies_bouldin from c join s using (k), t"""),
-    "cluster_silhouette": (silhouette, f"""with {SAMPLES}, q as (select vec_id, label, a from t order by md5(vec_id || '42') limit 200), d as (select u.vec_id, u.label as la, w.label as lb, avg(list_distance(u.a, w.a)) as d from q u join q w on u.vec_id <> w.vec_id group by 1, 2, 3),
+    "cluster_silhouette": (silhouette, f"""with {SAMPLES}, q as (select vec_id, label, a from t qualify row_number() over (order by md5(vec_id || '42')) <= (select least(5000, greatest(400, floor(24 * sqrt(count(*)) * count(distinct label)))) from t)), d as (select u.vec_id, u.label as la, w.label as lb, avg(list_distance(u.a, w.a)) as d from q u join q w on u.vec_id <> w.vec_id group by 1, 2, 3),
         m as (select vec_id, max(d) filter (where la = lb) as x, min(d) filter (where la <> lb) as y from d group by 1) select vec_id, round(case when x is null then 0 else (y - x) / greatest(x, y) end, 6) as s from m"""),
-    "candidate_scores": (candidate_scores, """select p_partkey, round(0.4 * greatest(0, least(1, (p_size / 50.0::double + 1) / 2)) + 0.3 * greatest(0, least(1, 1 / (1 + p_retailprice / 500.0::double))) + 0.3 * greatest(0, least(1, p_partkey * 1.0::double / (p_partkey * 1.0::double + 1000))), 6) as score from part"""),
+    "candidate_scores": (candidate_scores, """select p_partkey, round(greatest(0, 0.4 * greatest(0, least(1, (p_size / 50.0::double + 1) / 2)) + 0.3 * greatest(0, least(1, 1 / (1 + p_retailprice / 500.0::double))) + 0.3 * greatest(0, least(1, p_partkey * 1.0::double / (p_partkey * 1.0::double + 1000)))
+        - case when p_partkey % 97 / 96.0::double > 0.3 then least(0.2, (p_partkey % 97 / 96.0::double - 0.3) * 0.4) else 0 end - case when p_partkey % 25 < 2 then 0.3 when p_partkey % 25 = 2 then 0.05 when p_partkey % 25 > 12 then least(0.2, (p_partkey % 25 - 12) * 0.02) else 0 end), 6) as score from part"""),
     "cluster_profile": (cluster_profile, f"""with {_I}, u as (unpivot (select kind, quantity, discount from l) on quantity, discount into name feature value x), g as (select feature, avg(x) as gm, stddev_pop(x) as gs from u group by 1)
         select kind, feature, count(*) as n, round(avg(x), 5) as mean, round(quantile_cont(x, 0.5), 5) as median, round(stddev_pop(x), 5) as std, round(quantile_cont(x, 0.1), 5) as p10, round(quantile_cont(x, 0.9), 5) as p90, round((avg(x) - any_value(gm)) / any_value(gs), 5) as standing from u join g using (feature) group by 1, 2"""),
     "outlier_factor": (outlier_factor, """with s as (select s_suppkey as id, (s_suppkey * 6151 % 10007) / 10.0::double as x, (s_suppkey * 3571 % 10009) / 10.0::double as y from supplier), n as (select a.id, b.id as o, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) as d from s a join s b on a.id <> b.id qualify row_number() over (partition by a.id order by sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), b.id) <= 5),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -90,8 +93,8 @@ def complete_depths(spark, sf_dir):
 
 
 def same_grid(spark, sf_dir):
-    s = series(spark, sf_dir).filter("i < 12").select("user_id", "event_id", "i")
-    curves = s.withColumns({"curve": F.col("i") % 2, "d": F.floor(F.col("i") / 2) * 0.5 + F.when((F.col("user_id") % 3 == 0) & (F.col("i") == 11), 0.25).otherwise(0.0)})
+    s = series(spark, sf_dir).select("user_id", "event_id", "i", "n")
+    curves = s.withColumns({"curve": F.col("i") % 2, "d": F.floor(F.col("i") / 2) * 0.5 + F.when((F.col("user_id") % 3 == 0) & (F.col("i") == F.col("n") - 1), 0.25).otherwise(0.0)})
     return S.same_grid(curves, KEY, "curve", "d")
 
 
@@ -132,7 +135,7 @@ def array_extrema(spark, sf_dir):
 
 
 def array_savgol(spark, sf_dir):
-    return traces(spark, sf_dir).select("vec_id", F.posexplode(A.savgol(F.col("a"), 5, 2)).alias("i", "x")).filter("i between 2 and 61").select("vec_id", "i", rounded("x").alias("x"))
+    return traces(spark, sf_dir).select("vec_id", F.posexplode(A.savgol(F.col("a"), 5, 2)).alias("i", "x")).select("vec_id", "i", rounded("x").alias("x"))
 
 
 def depth_slice(spark, sf_dir):
@@ -141,11 +144,13 @@ def depth_slice(spark, sf_dir):
 
 
 def trace_similarity(spark, sf_dir):
-    """Median cosine and Pearson similarity of each test trace (label 0) to the training traces (a small stated set)."""
+    """Median cosine and Pearson similarity of each test trace (the stated set whose id is divisible by 20) to all other traces, test traces in blocks of about 1,000."""
     t = traces(spark, sf_dir)
-    train = t.filter("vec_id < 20").select(F.col("vec_id").alias("train_id"), F.col("a").alias("b"))
-    pairs = t.filter("label = 0").join(F.broadcast(train))
-    scored = pairs.select("vec_id", A.cosine(F.col("a"), F.col("b")).alias("c"), A.pearson(F.col("a"), F.col("b")).alias("r"))
+    tests = t.filter("vec_id % 20 = 0").select("vec_id", F.col("a").alias("b"))
+    blocks = -(-tests.count() // 1000)
+    others = t.select(F.col("vec_id").alias("other"), "a")
+    parts = [others.join(F.broadcast(tests.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k)), F.col("other") != F.col("vec_id")) for k in range(max(blocks, 1))]
+    scored = reduce(DataFrame.unionByName, parts).select("vec_id", A.cosine(F.col("a"), F.col("b")).alias("c"), A.pearson(F.col("a"), F.col("b")).alias("r"))
     return scored.groupBy("vec_id").agg(rounded(F.percentile("c", F.lit(0.5))).alias("cosine"), rounded(F.percentile("r", F.lit(0.5))).alias("pearson"))
 
 
@@ -208,7 +213,7 @@ QUERIES = {
     "series_align_curves": (align_curves, f"""{_S}, c as (select user_id, round_even(day(ts) + 0.1::double, 3) as depth, event_type, arg_min(v, event_id) as v from s where event_type in ('click', 'view') group by 1, 2, 3)
         select user_id, depth, max(v) filter (where event_type = 'click') as click, max(v) filter (where event_type = 'view') as view from c group by 1, 2 having count(*) = 2"""),
     "series_complete_depths": (complete_depths, f"""{_S} select user_id, round(day(ts) + 0.1::double, 6) as d from s where event_type in ('click', 'view', 'purchase') group by 1, 2 having count(distinct event_type) = 3"""),
-    "series_same_grid": (same_grid, f"""{_S}, c as (select user_id, i % 2 as curve, list(floor(i / 2) * 0.5 + case when user_id % 3 = 0 and i = 11 then 0.25 else 0 end order by i) as d from s where i < 12 group by 1, 2)
+    "series_same_grid": (same_grid, f"""{_S}, c as (select user_id, i % 2 as curve, list(floor(i / 2) * 0.5 + case when user_id % 3 = 0 and i = n - 1 then 0.25 else 0 end order by i) as d from s group by 1, 2)
         select user_id, count(*) as curves, count(distinct d) = 1 as compatible from c group by 1"""),
     "array_statistics": (array_statistics, f"""{_P}, g as (select vec_id, avg(x) as m, max(x) as mx, var_pop(x) as vr, sum(x) as sm, first(x order by i) + last(x order by i) as e from p group by 1)
         select vec_id, round(any_value(m), 6) as mean, round(any_value(mx), 6) as max, min(i) filter (where x = mx) as at_max, round(sqrt(any_value(vr)), 6) as std, round(any_value(vr), 6) as var,
@@ -227,10 +232,11 @@ QUERIES = {
     "array_ranks": (array_ranks, f"""{_P}, r as (select vec_id, i, round(x, 1) as x from p) select vec_id, cast(i as int) as i, rank() over (partition by vec_id order by x) + (count(*) over (partition by vec_id, x) - 1) / 2.0::double as rank from r"""),
     "array_extrema": (array_extrema, f"""{_P}, w as (select *, lag(x) over k as a, lead(x) over k as b from p window k as (partition by vec_id order by i))
         select vec_id, cast(i as int) as i, case when x > a and x > b then 0.0 when x < a and x < b then 256.0 else 128.0 end::double as mark from w"""),
-    "array_savgol": (array_savgol, f"""{_P} select vec_id, cast(i as int) as i, round((-3 * a[i - 1] + 12 * a[i] + 17 * x + 12 * a[i + 2] - 3 * a[i + 3]) / 35, 6) as x from p join (select vec_id, a from t) using (vec_id) where i between 2 and 61"""),
+    "array_savgol": (array_savgol, f"""{_P}, q as (select vec_id, i, a, x, n, least(greatest(i - 2, 0), n - 5) as s from p join (select vec_id, a from t) using (vec_id)), w as (select *, a[s + 1] as a1, a[s + 2] as a2, a[s + 3] as a3, a[s + 4] as a4, a[s + 5] as a5 from q)
+        select vec_id, cast(i as int) as i, round(case i - s when 0 then 31 * a1 + 9 * a2 - 3 * a3 - 5 * a4 + 3 * a5 when 1 then 9 * a1 + 13 * a2 + 12 * a3 + 6 * a4 - 5 * a5 when 2 then -3 * a1 + 12 * a2 + 17 * a3 + 12 * a4 - 3 * a5 when 3 then -5 * a1 + 6 * a2 + 12 * a3 + 13 * a4 + 9 * a5 else 3 * a1 - 5 * a2 - 3 * a3 + 9 * a4 + 31 * a5 end / 35, 6) as x from w"""),
     "array_depth_slice": (depth_slice, f"""{_P} select vec_id, round(a[13], 6) as amplitude from t"""),
-    "array_similarity": (trace_similarity, f"""{_P}, q as (select u.vec_id, b.vec_id as o, list_cosine_similarity(u.a, b.a) as c from t u, t b where u.label = 0 and b.vec_id < 20),
-        r as (select u.vec_id, w.vec_id as o, corr(u.x, w.x) as r from p u join p w on u.i = w.i and w.vec_id < 20 where u.label = 0 group by 1, 2)
+    "array_similarity": (trace_similarity, f"""{_P}, q as (select u.vec_id, b.vec_id as o, list_cosine_similarity(u.a, b.a) as c from t u, t b where u.vec_id % 20 = 0 and b.vec_id <> u.vec_id),
+        r as (select u.vec_id, w.vec_id as o, corr(u.x, w.x) as r from p u join p w on u.i = w.i and w.vec_id <> u.vec_id where u.vec_id % 20 = 0 group by 1, 2)
         select vec_id, round(quantile_cont(c, 0.5), 6) as cosine, round(quantile_cont(r, 0.5), 6) as pearson from q join r using (vec_id, o) group by 1"""),
     "array_previous_correlation": (previous_trace_correlation, f"""{_P}, b as (select vec_id, lag(vec_id) over (partition by label order by vec_id) as o from t)
         select b.vec_id, round(corr(u.x, w.x), 6) as k_r from b join p u on u.vec_id = b.vec_id left join p w on w.vec_id = b.o and w.i = u.i group by 1"""),
