@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import decontamination, lines, ngram_join, packing, quality
-from seamline.llm.common import table, worker_path
+from seamline.llm.common import removed, shared_folder, table, worker_path, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars is that of the text that is left."""
     cleaned = lines.drop_boilerplate(docs)
-    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
-    new = {"text": F.col("text"), "n_chars": changed.alias("n_chars")}
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
     return cleaned.select(*(new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
 
 
@@ -60,11 +61,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``. Results between stages lie in the folder the cluster shares."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to ``documents``.
+
+    Results between stages lie in the folder the cluster shares; each goes as
+    soon as the next one is written, so only the last stays. Every stage has a
+    defined result for null texts, languages and sources, for rows without an
+    id, repeated rows, very long texts, further columns and no rows: see its
+    operator.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
