@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -71,8 +72,9 @@ def worker_path(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, old) if x)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``most`` bytes of text, or one row."""
+    give_back()
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0))
         if not len(sizes):
@@ -81,7 +83,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the system: workers live on, and the next operator's worker needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

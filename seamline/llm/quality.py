@@ -74,16 +74,17 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
     return [words, chars, _per_text(_SYMBOL[data], starts), n_dup, np.bincount(rows[repeat], minlength=n), n_lines, variety, _per_text(_UPPER[data], starts), _per_text(_PUNCT[data], starts)]
 
 
-def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with COUNTS of its text column, their names after ``prefix``."""
-    names = [f"{prefix}{c}" for c in COUNTS]
+def measured(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``docs`` with COUNTS of its column text, or of the field text of the struct ``row``, so that a text needs to be sent only once."""
+    columns = docs.columns
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text):
-            found = [pa.array(x, pa.int64()) for x in measures(texts_of(batch, text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
+        texts = (pa.RecordBatch.from_arrays([*b.columns, b[row].field("text") if row else b["text"]], [*columns, "\n"]) for b in batches)
+        for batch in text_slices(texts, "\n"):
+            found = [pa.array(x, pa.int64()) for x in measures(texts_of(batch, "\n"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*columns, *COUNTS])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in names)]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in COUNTS)]))
 
 
 def base_failed() -> Column:
@@ -176,8 +177,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Rows that pass the base rules are written with their counts, so each text
     is measured once; the others can't be kept and are in no sketch.
     """
-    apart = docs.select(F.struct("*").alias("_row"), "lang", "source", F.col("text").cast("string").alias("text"))
-    rows = written(measured(apart).drop("text").filter(~base_failed()))
+    apart = docs.select(F.struct("*").alias("_row"), "lang", "source")
+    rows = written(measured(apart, "_row").filter(~base_failed()))
     limits = checkpointed(thresholds(rows))
     return verdicts(rows, broadcast_if_small(limits)).filter("kept").select("_row.*")
 
