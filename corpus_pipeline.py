@@ -45,7 +45,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     worker_path(spark)
-    return packing.digest(packing.harmonic_pack(docs, packing.vocabulary()))
+    return packing.digest(packing.harmonic_pack(docs, packing.vocabulary(), slice_bytes=2 << 20))
 
 
 STAGES = [
