@@ -13,7 +13,7 @@ def test_stages_follow_each_other(spark):
     good = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == good and 0 < len(good) < docs.count()
     cleaned = C.line_dedup(spark, kept, SF)
-    want = {r.doc_id: r.text for r in lines.drop_boilerplate(kept).collect()}
+    want = {r.row.doc_id: r.text for r in lines.drop_boilerplate(kept).collect()}
     rows = cleaned.collect()
     assert cleaned.columns == columns and {r.doc_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
     one = C.near_duplicates(spark, cleaned, SF)
