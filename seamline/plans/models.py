@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import learning as L
 from ..operators import models as M
+from ..operators import selection as S
 from .common import rounded
 from .learning import _I, items
 
@@ -50,6 +51,19 @@ def importances(spark, sf_dir):
     return spark.createDataFrame([(c, round(s, 6)) for c, s in found], "feature string, share double")
 
 
+def feature_search(spark, sf_dir):
+    """The value is a sum of three features, so these are found, and fit it wholly."""
+    rows = items(spark, sf_dir).withColumns({"value": 3 * F.col("quantity") + 200 * F.col("discount") - 100 * F.col("tax"), "fold": F.pmod("grp", F.lit(3))})
+    found = S.search_features(rows, ["price", "quantity", "discount", "tax"], "value", "fold", 3, "backward")
+    return spark.createDataFrame([(c, round(r, 6)) for c, r in found], "feature string, r2 double")
+
+
+def isolation(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    found = S.isolation_scores(rows, rows, ["quantity", "price", "discount", "tax"], "id")
+    return found.select("id", rounded("anomaly").alias("anomaly"), rounded("inlier").alias("inlier"))
+
+
 _PREDICTED = "case when quantity > 40 then 'N' when quantity > 20 then 'R' else kind end"
 
 
@@ -74,6 +88,8 @@ QUERIES = {
     "model_out_of_fold": (out_of_fold, f"with {_I} select id, grp % 3 as fold, cast(mark as varchar) as predicted from l"),
     "model_regression": (regression, f"with {_I} select id, round(3 * quantity + 20 * discount - 10 * tax + 1, 4) as predicted from l"),
     "model_importances": (importances, None),
+    "feature_search": (feature_search, "select unnest(['quantity', 'discount', 'tax']) as feature, 1.0::double as r2"),
+    "isolation_scores": (isolation, None),
     "classification_report": (classification_report, f"""with {_I}, p as (select kind, {_PREDICTED} as predicted from l), s as (select kind as label, count(*) as support, count(*) filter (where predicted = kind) as hits from p group by 1), g as (select predicted as label, count(*) as got from p group by 1)
         select label, support, round(hits / got::double, 6) as precision, round(hits / support::double, 6) as recall, round(2 * hits / (support + got)::double, 6) as f1 from s join g using (label)"""),
     "regression_report": (regression_report, f"with {_I} select count(*) as n, round(avg(abs(price - quantity * 1500)), 3) as mae, round(sqrt(avg(power(price - quantity * 1500, 2))), 3) as rmse, round(1 - avg(power(price - quantity * 1500, 2)) / var_pop(price), 6) as r2 from l"),
