@@ -21,6 +21,9 @@ OPERATORS = {
     "op6_ngram_join": ("ngram_join", None),
     "op9_suffix_dedup": ("repeats", None),
     "op3_harmonic_packing": ("packing", None),
+    "op11_prefix_tokens": ("prefix_tokens", None),
+    "op12_fill_middle": ("fill_middle", "SQL"),
+    "op13_prefix_trie": ("prefix_trie", "SQL"),
 }
 
 
