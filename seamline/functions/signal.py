@@ -2,14 +2,16 @@
 
 The Fourier transform is the one kernel that Spark lacks and comes from NumPy,
 for whole Arrow batches; all features are built-in functions over its arrays.
-Each function takes (id, a) columns of a table and returns a row for each array
-of at least 32 elements; null and shorter arrays are left out, and a feature
-that has no value is null.
+Each function takes (id, a) columns of a table and returns a row for each row.
+A feature that has no value is null; arrays of fewer than 32 elements, and null
+ones, have none of them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -63,8 +65,21 @@ def analytic(a: pd.Series) -> pd.DataFrame:
     return _transformed(a, f)
 
 
-def _long_enough(df: DataFrame, id: str, a: str) -> DataFrame:
-    return df.select(F.col(id).alias("id"), F.col(a).cast("array<double>").alias("a")).filter(F.size("a") >= LEAST)
+def _whole(family: Callable) -> Callable:
+    """A family for all rows: too short arrays stand aside as zeros, and their features become null."""
+
+    @wraps(family)
+    def run(df: DataFrame, id: str, a: str, *args, **kwargs) -> DataFrame:
+        ok = F.coalesce(F.size(a) >= LEAST, F.lit(False))
+        values = F.when(ok, F.col(a).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), LEAST))
+        found = family(df.select(F.struct(F.col(id).alias("id"), ok.alias("ok")).alias("id"), values.alias("a")), "id", "a", *args, **kwargs)
+        return found.select(F.col("id.id").alias("id"), *(F.when(F.col("id.ok"), F.col(c)).alias(c) for c in found.columns if c != "id"))
+
+    return run
+
+
+def _taken(df: DataFrame, id: str, a: str) -> DataFrame:
+    return df.select(F.col(id).alias("id"), F.col(a).cast("array<double>").alias("a"))
 
 
 def _ratio(x: Column, y: Column) -> Column:
@@ -86,18 +101,20 @@ def _weighted(a: Column, f) -> Column:
 
 def _power(df: DataFrame, id: str, a: str) -> DataFrame:
     """id, a, n and p, the squared sizes of all n frequencies."""
-    z = _long_enough(df, id, a).withColumn("z", fourier("a"))
+    z = _taken(df, id, a).withColumn("z", fourier("a"))
     return z.select("id", "a", F.size("a").alias("n"), F.zip_with("z.re", "z.im", lambda x, y: x * x + y * y).alias("p"))
 
 
+@_whole
 def instantaneous(df: DataFrame, id: str, a: str) -> DataFrame:
     """id, At, Vt, Pht and Wt: envelope, quadrature, phase and phase steps, rounded to 2 digits."""
-    z = _long_enough(df, id, a).withColumn("z", analytic("a")).select("id", F.col("z.re").alias("x"), F.col("z.im").alias("y"))
+    z = _taken(df, id, a).withColumn("z", analytic("a")).select("id", F.col("z.re").alias("x"), F.col("z.im").alias("y"))
     phase = F.zip_with("y", "x", F.atan2)
     rounded = lambda c: F.transform(c, lambda x: F.round(x, 2))
     return z.select("id", rounded(F.zip_with("x", "y", lambda x, y: F.sqrt(x * x + y * y))).alias("At"), rounded("y").alias("Vt"), rounded(phase).alias("Pht"), rounded(let(phase, A.differences)).alias("Wt"))
 
 
+@_whole
 def spectrum(df: DataFrame, id: str, a: str, interval: float = INTERVAL) -> DataFrame:
     """Sn, wmf, Qf, Sn_wmf: area of the amplitude spectrum, mean frequency, quality (peak over its width at 0.7) and area over mean."""
     s = _power(df, id, a).select("id", "n", F.transform(F.slice("p", F.lit(1), F.floor(F.col("n") / 2).cast("int") + 1), F.sqrt).alias("s"))
@@ -110,6 +127,7 @@ def spectrum(df: DataFrame, id: str, a: str, interval: float = INTERVAL) -> Data
     return s.withColumn("Sn_wmf", _ratio(F.col("Sn"), F.col("wmf")))
 
 
+@_whole
 def frequency(df: DataFrame, id: str, a: str, rate: float = RATE) -> DataFrame:
     """Shape of the power spectrum: centre, band, high to low ratio, slope, entropy, strongest frequencies but the first, moments."""
     s = _power(df, id, a).select("id", "n", F.slice("p", F.lit(1), F.floor(F.col("n") / 2).cast("int")).alias("p"))
@@ -129,9 +147,10 @@ def frequency(df: DataFrame, id: str, a: str, rate: float = RATE) -> DataFrame:
     )
 
 
+@_whole
 def envelope(df: DataFrame, id: str, a: str) -> DataFrame:
     """Area, greatest value and its place, mean, deviation, skewness, kurtosis, peak factor and energy of thirds of the envelope."""
-    s = _long_enough(df, id, a).withColumn("z", analytic("a")).select("id", F.zip_with("z.re", "z.im", lambda x, y: F.sqrt(x * x + y * y)).alias("e"))
+    s = _taken(df, id, a).withColumn("z", analytic("a")).select("id", F.zip_with("z.re", "z.im", lambda x, y: F.sqrt(x * x + y * y)).alias("e"))
     e, third = F.col("e"), F.floor(F.size("e") / 3).cast("int")
     return s.select(
         "id", A.trapezoid(e).alias("area"), F.array_max(e).alias("max"), A.argmax(e).cast("double").alias("time_to_max"), A.mean(e).alias("mean"), A.std(e).alias("std"), A.skewness(e).alias("skew"), A.kurtosis(e).alias("kurt"),
@@ -139,10 +158,11 @@ def envelope(df: DataFrame, id: str, a: str) -> DataFrame:
     )
 
 
+@_whole
 def autocorrelation(df: DataFrame, id: str, a: str) -> DataFrame:
     """First minimum, value at lag 10, decay over 10 lags, integral, width at half height and ratio of lags 10 and 20."""
     x = F.col("a")
-    s = _long_enough(df, id, a).select("id", F.transform(_places(x), lambda k: A.total(F.zip_with(F.slice(x, F.lit(1), F.size(x) - k), F.slice(x, k + 1, F.size(x) - k), lambda u, v: u * v))).alias("c"))
+    s = _taken(df, id, a).select("id", F.transform(_places(x), lambda k: A.total(F.zip_with(F.slice(x, F.lit(1), F.size(x) - k), F.slice(x, k + 1, F.size(x) - k), lambda u, v: u * v))).alias("c"))
     c, last = F.col("c"), F.size("c") - 1
     dip = F.filter(F.sequence(F.lit(1), last), lambda k: (_at(c, k) < _at(c, k - 1)) & ((k == last) | (_at(c, k) <= _at(c, k + 1))))
     below = F.filter(_places(c), lambda k: _at(c, k) <= 0.5 * _at(c, 0))
@@ -165,6 +185,7 @@ def _near(x: Column, width: int, reach: Column) -> Column:
     return F.transform(starts, lambda i: F.size(F.filter(starts, lambda j: alike(i, j))))
 
 
+@_whole
 def entropies(df: DataFrame, id: str, a: str, scales: int = 10) -> DataFrame:
     """Histogram entropy of the array and of coarser ones, order patterns, approximate and sample entropy, spectral entropies."""
     x, n = F.col("a"), F.col("n")
@@ -196,10 +217,11 @@ def _cut(a: Column, w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / w).cast("int") - 1), lambda i: F.slice(a, i * w + 1, w))
 
 
+@_whole
 def fractal(df: DataFrame, id: str, a: str, orders: int = 20) -> DataFrame:
     """Lacunarity, rescaled-range exponent and the singularity spectrum of detrended fluctuations."""
     x, n = F.col("a"), F.size("a")
-    s = _long_enough(df, id, a).withColumns({"sums": F.concat(F.array(F.lit(0.0)), running(x)), "walk": let(A.mean(x), lambda m: running(F.transform(x, lambda v: v - m)))})
+    s = _taken(df, id, a).withColumns({"sums": F.concat(F.array(F.lit(0.0)), running(x)), "walk": let(A.mean(x), lambda m: running(F.transform(x, lambda v: v - m)))})
     log2 = F.floor(F.log2(n.cast("double"))).cast("int")
     powers = lambda low, high: F.transform(F.sequence(F.lit(low), high), lambda k: F.pow(F.lit(2.0), k).cast("int"))
     mass = lambda s, w: F.zip_with(F.slice(s, w + 1, n + 1 - w), F.slice(s, F.lit(1), n + 1 - w), lambda u, v: u - v)
@@ -245,9 +267,10 @@ def _halves(a: Column) -> tuple[Column, Column]:
     return filtered(low), filtered(high)
 
 
+@_whole
 def wavelet(df: DataFrame, id: str, a: str, levels: int = 5) -> DataFrame:
     """Energy, mean, deviation, extremes and entropy of each level's coefficients, and ratios of energies."""
-    s = _long_enough(df, id, a).withColumn("rest", F.col("a"))
+    s = _taken(df, id, a).withColumn("rest", F.col("a"))
     for level in range(1, levels + 1):
         low, high = _halves(F.col("rest"))
         s = s.withColumns({f"D{level}": high, "rest": low})
@@ -259,12 +282,13 @@ def wavelet(df: DataFrame, id: str, a: str, levels: int = 5) -> DataFrame:
     return s.select("*", *(_ratio(F.col(f"{b}_energy"), F.col(f"{o}_energy")).alias(f"{b}_{o}") for b, o in pairs))
 
 
+@_whole
 def recurrence(df: DataFrame, id: str, a: str) -> DataFrame:
     """Share of the closest tenth of pairs of embedded points (three elements in a row), of it on the first diagonal, and that diagonal's mean."""
     x, last = F.col("a"), F.size("a") - 3
     gap = lambda i, j: F.sqrt(sum(((_at(x, i + d) - _at(x, j + d)) * (_at(x, i + d) - _at(x, j + d)) for d in range(3)), F.lit(0.0)))
     places = F.sequence(F.lit(0), last)
-    s = _long_enough(df, id, a).withColumn("d", F.transform(places, lambda i: F.transform(places, lambda j: gap(i, j))))
+    s = _taken(df, id, a).withColumn("d", F.transform(places, lambda i: F.transform(places, lambda j: gap(i, j))))
     s = s.withColumn("all", F.array_sort(F.flatten("d"))).withColumn("place", 0.1 * (F.size("all") - 1))
     low = F.floor("place").cast("int")
     s = s.withColumn("limit", F.get("all", low) + (F.get("all", low + 1) - F.get("all", low)) * (F.col("place") - low))
@@ -273,9 +297,10 @@ def recurrence(df: DataFrame, id: str, a: str) -> DataFrame:
     return s.select("id", (near / F.size("all")).alias("rate"), (on / F.greatest(near, F.lit(1.0))).alias("determinism"), (on / (F.size("d") - 1)).alias("diagonal"))
 
 
+@_whole
 def morphology(df: DataFrame, id: str, a: str) -> DataFrame:
     """Shares that erosion leaves and dilation makes of what lies above half the greatest value."""
-    s = _long_enough(df, id, a).select("id", let(F.array_max("a"), lambda m: F.transform("a", lambda x: x > 0.5 * m)).alias("on"))
+    s = _taken(df, id, a).select("id", let(F.array_max("a"), lambda m: F.transform("a", lambda x: x > 0.5 * m)).alias("on"))
     on = lambda i: F.coalesce(F.get("on", i), F.lit(False))
     count = F.size(F.filter("on", lambda v: v)).cast("double")
     kept, grown = (F.size(F.filter(_places(F.col("on")), f)).cast("double") for f in (lambda i: on(i - 1) & on(i) & on(i + 1), lambda i: on(i - 1) | on(i) | on(i + 1)))
@@ -293,10 +318,11 @@ def cosines(a: Column, back: bool = False) -> Column:
     return let(F.size(a).cast("double"), lambda n: F.transform(_places(a), lambda k: one(n, k)))
 
 
+@_whole
 def rank_cepstrum(df: DataFrame, id: str, a: str) -> DataFrame:
     """id and CRL: ranks of the inverse cosine transform of the logarithm of the ranks of the cosine transform."""
     ranks = let(let(F.transform(let(cosines(F.col("a")), A.ranks), F.ln), lambda r: cosines(r, back=True)), A.ranks)
-    return _long_enough(df, id, a).select("id", ranks.alias("CRL"))
+    return _taken(df, id, a).select("id", ranks.alias("CRL"))
 
 
 FAMILIES = {"spectrum": spectrum, "frequency": frequency, "envelope": envelope, "acf": autocorrelation, "entropy": entropies, "fractal": fractal, "wavelet": wavelet, "recurrence": recurrence, "morphology": morphology}

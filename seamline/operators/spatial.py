@@ -32,18 +32,23 @@ def within(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: st
     return a.join(b, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", gap).filter(F.col("distance") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, start: float, left_id: str, right_id: str, x: str = "x", y: str = "y", rx: str = "sx", ry: str = "sy", most_rounds: int = 20) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, start: float, left_id: str, right_id: str, x: str = "x", y: str = "y", rx: str = "sx", ry: str = "sy") -> DataFrame:
     """The k nearest right points of each left point (left_id, right_id, distance, rank), ties by right_id.
 
     Rounds search within ``start`` and double it for those points that lack k,
-    so the k found are the nearest; the last round takes what there is.
+    so the k found are the nearest, however far they are; all right points where
+    there are fewer than k. Points without finite coordinates have no neighbours
+    and are none.
     """
-    right = right.select(right_id, rx, ry).filter(F.col(rx).isNotNull() & F.col(ry).isNotNull())
-    todo = left.select(left_id, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    finite = lambda *cs: [F.abs(F.col(c)) < float("inf") for c in cs]
+    right = right.select(right_id, rx, ry).filter(reduce(Column.__and__, finite(rx, ry)))
+    todo = left.select(left_id, x, y).filter(reduce(Column.__and__, finite(x, y)))
     k = min(k, right.count())
+    if start <= 0:
+        raise ValueError("the first radius must be above 0")
     radius, found = float(start), None
     by = W.partitionBy(left_id).orderBy("distance", right_id)
-    for _ in range(most_rounds):
+    while True:
         near = within(todo, right, radius, x, y, rx, ry).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
         near = near.withColumn("_n", F.count("*").over(W.partitionBy(left_id))).filter(F.col("_n") == k)
         near = checkpointed(near.select(left_id, right_id, "distance", "rank"))
@@ -52,7 +57,6 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start: float, left_id: st
         if k == 0 or todo.isEmpty():
             return found
         radius *= 2
-    raise ValueError(f"no {k} neighbours within {radius}")
 
 
 def inverse_distance(near: DataFrame, left_id: str, value: str, power: float = 2.0) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("series", "relational", "spatial", "grids", "learning", "models", "signal", "depth")
+MODULES = ("series", "relational", "spatial", "density", "grids", "filters", "learning", "models", "signal", "depth")
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:

@@ -19,9 +19,10 @@ def table(spark, rows):
 
 @pytest.mark.parametrize("family", sorted(PLAIN))
 def test_family_against_numpy(spark, family):
-    rows = [*arrays(), None, [], [1.0] * 8]
+    rows = [*arrays(), None, [], [1.0] * 8, [2.0], [float(k) for k in range(31)]]
     got = {r.id: r.asDict() for r in G.FAMILIES[family](table(spark, rows), "vec_id", "a").collect()}
-    assert set(got) == set(range(6))
+    assert set(got) == set(range(11))
+    assert all(v is None for i in range(6, 11) for k, v in got[i].items() if k != "id")
     for i, a in enumerate(arrays()):
         with np.errstate(all="ignore"):
             want = {k: float(v[0]) for k, v in PLAIN[family](a[None]).items()}
