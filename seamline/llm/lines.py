@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, table
 
-RATIO, LEAST_PAGES = 0.05, 5
+RATIO = 0.05
+#: Every host is counted as if it had so many more pages without the line: on few pages a share says little.
+MORE_PAGES = 20
 
 
 def line_key(line: Column) -> Column:
@@ -26,19 +28,25 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.withColumn("key", F.explode(keys)).drop("text")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, key) of lines on at least ``least_pages`` pages of a host and on more than ``ratio`` of them.
+def boilerplate(pages: DataFrame, ratio: float = RATIO, more_pages: int = MORE_PAGES) -> DataFrame:
+    """(host, key) of lines whose smoothed share of a host's pages is over ``ratio``.
+
+    The share is that of a page's chance to have the line besides the one it
+    is seen on: (pages with it - 1) / (the host's pages + ``more_pages``). So a
+    line of one page alone is none, small hosts need more of their pages to
+    agree, and for large ones it is the plain ratio.
 
     Counts are summed in the map tasks first, so a host or a line that holds a
     third of all rows sends one row for each task. Host totals meet only lines
-    that passed the page count.
+    that would pass if all the host's pages had them.
     """
-    counts = page_lines(pages.select("host", "text")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    over = lambda total: F.col("n") - 1 > (total + more_pages) * F.lit(ratio)
+    counts = page_lines(pages.select("host", "text")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(over(F.col("n")))
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    return counts.join(totals, "host").filter(F.col("n") > F.col("total") * F.lit(ratio)).select("host", "key")
+    return counts.join(totals, "host").filter(over(F.col("total"))).select("host", "key")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_broadcast: int = 50_000) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, more_pages: int = MORE_PAGES, most_broadcast: int = 50_000) -> DataFrame:
     """(row, text, n_lines, n_dropped) for each row of ``docs``, which is row as a struct, so no names clash.
 
     text is without the boilerplate lines of the row's host; n_lines counts
@@ -54,7 +62,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     join Spark splits a hot host's pages.
     """
     pages = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
-    found = checkpointed(boilerplate(pages, ratio, least_pages))
+    found = checkpointed(boilerplate(pages, ratio, more_pages))
     lists = found.groupBy("host").agg(F.collect_list("key").alias("drop"))
     joined = pages.join(F.broadcast(lists) if found.count() <= most_broadcast else lists, "host", "left")
     drop = F.coalesce("drop", F.array().cast("array<struct<a:bigint,b:int>>"))
@@ -77,7 +85,7 @@ with pages as (select row_number() over () as k, doc_id, coalesce(source, '') as
 lines as (select k, host, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from pages),
 full_lines as (select *, trim(line) as bare from lines where regexp_matches(trim(line), '{WORD}')),
 boilerplate as (select host, bare from (select host, bare, count(distinct k) as n from full_lines group by all) join (select host, count(*) as total from pages group by host) using (host)
-  where n >= {LEAST_PAGES} and n > total * {RATIO}),
+  where n - 1 > (total + {MORE_PAGES}) * {RATIO}),
 kept as (select k, string_agg(line, chr(10) order by i) as text from (select * from lines l where not exists (select 1 from boilerplate b where b.host = l.host and b.bare = trim(l.line))) group by k),
 counts as (select k, count(*) as n_lines, count(b.bare) as n_dropped from full_lines f left join boilerplate b on b.host = f.host and b.bare = f.bare group by k)
 select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, case when p.text is not null then md5(coalesce(kept.text, '')) end as text_md5

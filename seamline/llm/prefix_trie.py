@@ -35,7 +35,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256))
     first = F.col("conv_id") - F.pmod("conv_id", F.lit(HUNDRED))
     drawn = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED).alias("h")
-    own = rows.select("conv_id", place.alias("pos"), digest.alias("digest"), F.length("text").cast("long").alias("chars"), drawn)
+    own = written(rows.select("conv_id", place.alias("pos"), digest.alias("digest"), F.length("text").cast("long").alias("chars"), drawn))
     firsts = own.filter((F.col("conv_id") == first) & (F.col("pos") < SHARED)).select(F.col("conv_id").alias("base"), "pos", "digest", "chars")
     convs = own.filter("pos = 1").select("conv_id", "h", first.alias("base"))
     borrowed = convs.join(firsts, "base").filter("pos <= h").select("conv_id", "pos", "digest", "chars")
