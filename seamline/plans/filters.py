@@ -60,8 +60,8 @@ QUERIES = {
         select vec_id, cast(i as int) as i, round(sum(c * lo + d * hi), 5) as x from u, (select unnest(range(0, 64)) as i), f where j = 7 - (i + 6 - 2 * k) group by 1, 2"""),
     "trace_denoise_levels": (denoise_all, None),
     "trace_zero_phase": (zero_phase, None),
-    "profile_cosine": (cosine, f"""{_PROFILE}, s as (select vec_id, label, k, sum(x * cos(pi() * (i + 0.5) * k / 64)) * case when k = 0 then sqrt(1 / 64.0::double) else sqrt(2 / 64.0::double) end as c from p, (select unnest(range(0, 64)) as k) group by all)
-        select s.label, v.vec_id, cast(k as int) as k, round(sum(c * cos(pi() * (w.r + 0.5) * v.r / v.m)) * case when v.r = 0 then sqrt(1 / v.m::double) else sqrt(2 / v.m::double) end, 4) as x
+    "profile_cosine": (cosine, f"""{_PROFILE}, s as (select vec_id, label, k, sum(x * cos(pi() * (i + 0.5) * k / 64)) * case when k = 0 then sqrt(1 / 64.0::double) else sqrt(2 / 64.0::double) end as c from p, (select unnest(range(0, 64)) as k) group by vec_id, label, k)
+        select s.label, v.vec_id, cast(k as int) as k, round(sum(c * cos(pi() * (w.r + 0.5) * v.r / v.m)) * case when v.r = 0 then sqrt(1.0 / v.m) else sqrt(2.0 / v.m) end, 4) as x
         from s join pl w on w.vec_id = s.vec_id join t on t.label = s.label join pl v on v.vec_id = t.vec_id group by s.label, v.vec_id, k, v.r, v.m"""),
     "profile_spectrum": (spectrum, f"""{_PROFILE}, s as (select vec_id, label, k, sum(x * cos(2 * pi() * i * k / 64)) as re, -sum(x * sin(2 * pi() * i * k / 64)) as im from p, (select unnest(range(0, 33)) as k) group by all),
         z as (select s.label, v.vec_id, k, 2 * pi() * ((w.r * v.r) % v.m) / v.m as g, re, im from s join pl w on w.vec_id = s.vec_id join t on t.label = s.label join pl v on v.vec_id = t.vec_id)

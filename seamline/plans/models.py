@@ -6,11 +6,16 @@ apart, classes that one feature tells, a value that is a sum of features.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
+from ..operators import fronts as R
 from ..operators import learning as L
 from ..operators import models as M
 from ..operators import selection as S
+from ..operators import tuning as T
 from .common import rounded
 from .learning import _I, items
 
@@ -58,6 +63,25 @@ def feature_search(spark, sf_dir):
     return spark.createDataFrame([(c, round(r, 6)) for c, r in found], "feature string, r2 double")
 
 
+def feature_fronts(spark, sf_dir):
+    """Masks of two features that tell returned items best for their number of features."""
+    found = R.feature_fronts(items(spark, sf_dir).withColumn("big", (F.col("price") > 30_000).cast("int")), ["quantity", "discount"], "big", generations=3)
+    return spark.createDataFrame([(",".join(s), round(d, 6)) for s, d in found], "features string, distance double")
+
+
+def shadow_features(spark, sf_dir):
+    """The price of an item follows from its quantity, in part, and not from the others."""
+    rows = items(spark, sf_dir).withColumn("big", (F.col("price") > 30_000).cast("int"))
+    found = R.shadow_test(rows, ["quantity", "discount", "tax"], "big", "id", rounds=9, trees=10, depth=4)
+    return spark.createDataFrame(found, "feature string, verdict string, hits long, rounds long")
+
+
+def tuning_run(spark, sf_dir):
+    space = [{"method": "kmeans", "clusters": k, "scaler": "standard", "projection": None} for k in (2, 3, 4)]
+    told = T.tune(items(spark, sf_dir), ["quantity", "price", "discount"], "id", space, f"{shared_folder(spark)}/tuning-{uuid.uuid4().hex}", keep=1, patience=3)
+    return told.select("stage", "place", "candidate", rounded("score").alias("score"), rounded("smallest").alias("smallest"), "error")
+
+
 def isolation(spark, sf_dir):
     rows = items(spark, sf_dir)
     found = S.isolation_scores(rows, rows, ["quantity", "price", "discount", "tax"], "id")
@@ -89,6 +113,10 @@ QUERIES = {
     "model_regression": (regression, f"with {_I} select id, round(3 * quantity + 20 * discount - 10 * tax + 1, 4) as predicted from l"),
     "model_importances": (importances, None),
     "feature_search": (feature_search, "select unnest(['quantity', 'discount', 'tax']) as feature, 1.0::double as r2"),
+    "feature_fronts": (feature_fronts, f"""with {_I}, b as (select *, price > 30000 as big from l), m as (select (avg(quantity) filter (where big) - avg(quantity) filter (where not big)) / stddev_pop(quantity) as q, (avg(discount) filter (where big) - avg(discount) filter (where not big)) / stddev_pop(discount) as d from b)
+        select case when abs(q) >= abs(d) then 'quantity' else 'discount' end as features, round(greatest(abs(q), abs(d)), 6) as distance from m union all select 'quantity,discount', round(sqrt(q * q + d * d), 6) from m"""),
+    "shadow_features": (shadow_features, None),
+    "tuning_run": (tuning_run, None),
     "isolation_scores": (isolation, None),
     "classification_report": (classification_report, f"""with {_I}, p as (select kind, {_PREDICTED} as predicted from l), s as (select kind as label, count(*) as support, count(*) filter (where predicted = kind) as hits from p group by 1), g as (select predicted as label, count(*) as got from p group by 1)
         select label, support, round(hits / got::double, 6) as precision, round(hits / support::double, 6) as recall, round(2 * hits / (support + got)::double, 6) as f1 from s join g using (label)"""),
