@@ -163,7 +163,8 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     are of no conversation. A conversation's turns go through one task one by
     one, however long it is; other columns are ignored; no rows give no nodes.
     """
-    spread = rebuilt(turns).repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+    # written first: over a union whose parts are dealt by conv_id already, adaptive planning may leave this exchange out and lay the parts end to end
+    spread = written(rebuilt(turns)).repartition("conv_id").sortWithinPartitions("conv_id", "pos")
     steps = written(spread.mapInArrow(paths, STEPS))
     nodes = written(steps.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.first("chars").alias("chars")))
     children = nodes.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("n_children"))
