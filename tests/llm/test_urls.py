@@ -1,4 +1,8 @@
+import collections
 import math
+import re
+
+import regex
 
 from seamline.llm import urls as U
 
@@ -33,6 +37,15 @@ def test_hosts_paths_and_rules(spark):
         assert got[i].rule == name and (action is None or got[i].verdict == action)
 
 
+def shape(s):
+    return regex.sub(r"\p{L}+(?:[-_+ ]\p{L}+)*", "0", s)
+
+
+def apart(x, n, y, m):
+    p = (x + y) / (n + m)
+    return abs(x / n - y / m) > U.Z * math.sqrt(p * (1 - p) * (1 / n + 1 / m))
+
+
 def tree(nodes):
     """(template, purity) of each (host, skeleton) by plain loops."""
     m = U.GOOD + U.BAD
@@ -43,33 +56,53 @@ def tree(nodes):
         groups = {}
         for k in nodes:
             if not done[k]:
-                groups.setdefault((k[0], names[k]), {}).setdefault(k[1][level], []).append(k)
-        for (_, old), kids in groups.items():
+                groups.setdefault((k[0], names[k]), []).append(k)
+        for (_, old), keys in groups.items():
+            held = collections.Counter()
+            for k in keys:
+                held[k[1][level]] += nodes[k][0]
+            kids, kinds = {}, collections.Counter()
+            for k in keys:
+                part = k[1][level]
+                part = shape(part) if held[part] == 1 else part
+                kids.setdefault(part, []).append(k)
+                kinds[part, shape(k[1][level + 1]) if len(k[1]) > level + 1 else ""] += nodes[k][0]
             sums = {part: [sum(nodes[k][j] for k in ks) for j in range(3)] for part, ks in kids.items()}
             all_p, all_n, all_b = (sum(x[j] for x in sums.values()) for j in range(3))
-            bins = {}
+            pairs = {}
             for part, (_, n, b) in sums.items():
                 if n:
-                    bins.setdefault(min(U.BINS - 1, math.floor((b + m * all_b / all_n) / (n + m) * U.BINS)), []).append(part)
+                    pairs.setdefault(((b + m * all_b / all_n) / (n + m), n, b), []).append(part)
             runs = []
-            for low in sorted(bins):
-                n, b = sum(sums[x][1] for x in bins[low]), sum(sums[x][2] for x in bins[low])
-                if runs:
-                    _, N, B, parts = runs[-1]
-                    p = (B + b) / (N + n)
-                    if abs(B / N - b / n) <= U.Z * math.sqrt(p * (1 - p) * (1 / N + 1 / n)):
-                        runs[-1] = (runs[-1][0], N + n, B + b, parts + bins[low])
-                        continue
-                runs.append((low, n, b, bins[low]))
-            new = {part: part if len(parts) == 1 else f"*{low}" for low, _, _, parts in runs for part in parts}
+            for key in sorted(pairs):
+                n, b = (x * len(pairs[key]) for x in key[1:])
+                if runs and not apart(runs[-1][1], runs[-1][0], b, n):
+                    runs[-1] = (runs[-1][0] + n, runs[-1][1] + b, runs[-1][2] + pairs[key])
+                else:
+                    runs.append((n, b, pairs[key]))
+            new = {part: parts[0] if len(parts) == 1 else f"*{i}" for i, (_, _, parts) in enumerate(runs, 1) for part in parts}
+            branch = {}
+            for part, name in new.items():
+                branch.setdefault(name, []).append(part)
+            unlike = set()
+            for part in set(sums) - set(new):
+                x, kind = max((v, k) for (q, k), v in kinds.items() if q == part)
+                near = max(((sum(kinds[q, kind] for q in ps), name, sum(sums[q][1] for q in ps), sum(sums[q][0] for q in ps)) for name, ps in branch.items() if any((q, kind) in kinds for q in ps)), default=None)
+                if near and not apart(x, sums[part][0], near[0], near[3]) and not apart(0, sums[part][0], near[2], near[3]):
+                    new[part] = near[1]
+                else:
+                    unlike.add(part)
             w = all_n / all_p
+            under = collections.Counter(new.get(part, part) for part, ks in kids.items() for _ in ks)
             for part, ks in kids.items():
-                name = new.get(part, "?")
+                name = new.get(part, part)
+                alone = under[name] == 1
                 for k in ks:
                     above[k] = ((all_n - all_b) * w + m * above[k]) / (all_n * w + m)
-                    alone = len(ks) == 1 and name == part
-                    names[k] = "/".join([old, name, *(k[1][level + 1 :] if alone else ())])
-                    done[k] = alone or name == "?" or len(k[1]) == level + 1
+                    rest = k[1][level + 1 :]
+                    below = [shape(x) if nodes[k][0] == 1 else x for x in rest] if alone else ["?"] if part in unlike and rest else []
+                    names[k] = "/".join([old, name, *below])
+                    done[k] = alone or part in unlike or not rest
     sums = {}
     for k in nodes:
         x = sums.setdefault((k[0], names[k]), [0, 0])
@@ -78,6 +111,32 @@ def tree(nodes):
     return {k: (names[k], (n - b + m * above[k]) / (n + m)) for k in nodes for n, b in [sums[k[0], names[k]]]}
 
 
+def plain_skeleton(path):
+    parts = [re.sub("[0-9]+", "*", "*" if re.fullmatch(r"(?=.*[0-9])[0-9A-Fa-f-]{8,}|.{40,}", x) else x) for x in path.split("/") if x]
+    out, i = [], 0
+    while i < len(parts):
+        for k in (1, 2, 3):
+            times = 1
+            while parts[i + times * k : i + (times + 1) * k] == parts[i : i + k]:
+                times += 1
+            if times > 2:
+                out += [*parts[i : i + k], "0+"]
+                i += times * k
+                break
+        else:
+            out.append(parts[i])
+            i += 1
+    return tuple(out)
+
+
+def test_skeletons(spark):
+    paths = ["", "/", "/a", "/a/a", "/a/a/a", "/a/b/a/b/a/b/a", "/x/y/z/x/y/z/x/y/z/q", "/ab/b/b/b", "/b/b/bb", "/12/34/56/s", "/a//b/", "/é/é/é\n", "/q/r" * 5000 + "/s", "/" + "long" * 20_000, "/7f3a-99bc0/page-12.html"]
+    df = spark.createDataFrame(list(enumerate(paths)), "i int, path string")
+    got = {r.i: tuple(r.s) for r in df.select("i", U.skeleton(df.path).alias("s")).collect()}
+    assert got == {i: plain_skeleton(p) for i, p in enumerate(paths)}
+    assert got[12] == ("q", "r", "0+", "s")
+
+
 def test_tree_against_loops(spark):
     import random
 
@@ -87,10 +146,10 @@ def test_tree_against_loops(spark):
     for depth, parts in ((4, "abcd"), (9, "ab")):
         nodes = {}
         for _ in range(300):
-            skel = tuple(r.choice([*parts, "*"]) for _ in range(r.randrange(0, depth)))
+            skel = tuple(r.choice([*parts, "*", "u-v" if r.random() < 0.2 else r.choice("efgh") * 3]) for _ in range(r.randrange(0, depth)))
             n = r.choice([0, 0, 0, 3, 20])
             bad = 0.9 if skel[depth // 2 : depth // 2 + 1] == ("a",) else 0.1
-            nodes[r.choice(["h", "g", "i"]), skel] = (n + r.randrange(1, 5), n, sum(r.random() < bad for _ in range(n)))
+            nodes[r.choice(["h", "g", "i"]), skel] = (n + r.choice([1, 1, 2, 4, 30]), n, sum(r.random() < bad for _ in range(n)))
         df = spark.createDataFrame([(h, list(s), *x) for (h, s), x in nodes.items()], "host string, skel array<string>, pages long, labelled long, bad long")
         found = U.templates(df)
         sums = found.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
@@ -99,14 +158,12 @@ def test_tree_against_loops(spark):
 
 
 def test_query_against_loops(spark):
-    import re
-
     rows = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     nodes, at = {}, {}
     for i, u in rows:
         host, path = split(u)
         name, action = rule(host, path)
-        skel = tuple(re.sub("[0-9]+", "*", "*" if re.fullmatch(r"(?=.*[0-9])[0-9A-Fa-f-]{8,}|.{40,}", x) else x) for x in path.split("/") if x)
+        skel = plain_skeleton(path)
         p, n, b = nodes.get((host, skel), (0, 0, 0))
         nodes[host, skel] = (p + 1, n + (action is not None), b + (action == "block"))
         at[i] = (host, path, name, action, (host, skel))
@@ -116,6 +173,28 @@ def test_query_against_loops(spark):
     assert got == want
     free = [v[3] for v in want.values() if v[2] is None]
     assert 0 < free.count("block") < len(free)
+    assert len({v[4] for v in want.values() if v[2] is None}) > 5
+
+
+def test_variable_and_unlabelled_segments(spark):
+    from pyspark.sql import functions as F
+
+    # a tenth of the pages is labelled; the pages of users are named by texts, and one user's pages have no label
+    rows = [(f"http://v.io/user/{a}{b}/post/{i}", i % 10 == 0 and a != "x" or None) for a in "pqrstx" for b in "abcde" for i in range(1, 4)]
+    rows += [(f"http://v.io/user/{a}{b}/post/{i}", True) for a in "pqrst" for b in "abcde" for i in (10, 20)]
+    rows += [(f"http://v.io/wiki/{a}{b}{c}", False if c == "a" else None) for a in "abcdef" for b in "ghijkl" for c in "abcdefgh"]
+    df = spark.createDataFrame(rows, "url string, l boolean")
+    got = [(r.row.url, r.template, r.verdict) for r in U.judge_urls(df, [], label=F.col("l")).collect()]
+    assert {v for u, _, v in got if "/wiki/" in u} == {"allow"} and {v for u, _, v in got if "/user/" in u} == {"block"}
+    assert {t for u, t, _ in got if "/wiki/" in u} == {"/wiki/0"}
+    assert {t for u, t, _ in got if "/user/x" in u} == {t for u, t, _ in got if "/user/p" in u} == {"/user/*1/post/*"}
+
+
+def test_close_shares_of_many_labels_stay_apart(spark):
+    nodes = [("h", ["a", "*"], 10_000, 10_000, 4_100), ("h", ["b", "*"], 10_000, 10_000, 4_900), ("h", ["c", "*"], 10_000, 10_000, 4_110)]
+    found = U.templates(spark.createDataFrame(nodes, "host string, skel array<string>, pages long, labelled long, bad long"))
+    got = {r.skel[0]: r.template for r in found.collect()}
+    assert got["a"] == got["c"] != got["b"]
 
 
 def test_impure_templates_are_rejected(spark):
