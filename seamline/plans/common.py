@@ -54,3 +54,14 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = """pt as (select c_custkey as id, c_name as name, (c_custkey * 7919 % 10007) / 10.0::double as x, (c_custkey * 104729 % 10009) / 10.0::double as y, c_acctbal as v, c_mktsegment as kind from customer),
 st as (select s_suppkey as sid, (s_suppkey * 6151 % 10007) / 10.0::double as sx, (s_suppkey * 3571 % 10009) / 10.0::double as sy, s_acctbal as sv from supplier)"""
+
+
+#: The Ratcliff-Obershelp ratio s of the texts a and b of each row k of a relation p, as o (after ``with recursive``).
+SIMILAR = """q as (select k, i, j from p, unnest(range(length(a))) as t(i), unnest(range(length(b))) as u(j) where a[i + 1] = b[j + 1]),
+g as (select *, i - row_number() over (partition by k, i - j order by i) as g from q),
+r as (select k, i, j, max(i) over (partition by k, i - j, g) - i + 1 as r from g),
+v as (select k, 0 as al, length(a) as ah, 0 as bl, length(b) as bh, 0 as size from p
+  union all select k, unnest([al, i + n]), unnest([i, ah]), unnest([bl, j + n]), unnest([j, bh]), unnest([n, 0]) from (
+    select k, al, ah, bl, bh, best // 1000000 as n, 999 - best // 1000 % 1000 as i, 999 - best % 1000 as j from (
+      select v.k, al, ah, bl, bh, max(least(r, ah - i, bh - j) * 1000000 + (999 - i) * 1000 + 999 - j) as best from v join r on r.k = v.k and i >= al and i < ah and j >= bl and j < bh group by all))),
+o as (select k, case when any_value(a) = '' or any_value(b) = '' then 0.0::double else 2.0::double * sum(size) / any_value(length(a) + length(b)) end as s from v join p using (k) group by 1)"""

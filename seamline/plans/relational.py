@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
-from .common import rounded, table
+from .common import SIMILAR, rounded, table
 
 
 def _names(spark, sf_dir):
@@ -136,9 +136,8 @@ def text_ranges(spark, sf_dir):
 
 
 def text_similarity(spark, sf_dir):
-    """Ratcliff-Obershelp ratio, which SQL has not; tests compare with the standard library."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", rounded(X.text_similarity(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
+    return p.select("p_partkey", rounded(X.similarity(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
 
 
 def _geo(spark, sf_dir):
@@ -215,7 +214,7 @@ QUERIES = {
     "text_keys": (text_keys, """select c_custkey, 'p|' || lpad(cast(c_custkey as varchar), 20, '0') || '|x|' || lpad('7', 20, '0') as natural, md5(cast(round_even(c_acctbal, 0) as bigint) || ':' || cast(round_even(c_nationkey + 0.5::double, 0) as bigint)) as hash,
         case when c_custkey % 100 between 11 and 19 then 'many' when c_custkey % 10 = 1 then 'one' when c_custkey % 10 between 2 and 4 then 'few' else 'many' end as plural from customer"""),
     "text_ranges": (text_ranges, """select n_nationkey, case when n_nationkey % 5 <> 4 then array_to_string(list_sort(list_distinct(list_append(list_filter(range(n_nationkey, n_nationkey + 4), lambda x: x >= 1), 7))), ',') end as places from nation"""),
-    "text_similarity": (text_similarity, None),
+    "text_similarity": (text_similarity, f"with recursive p as (select p_partkey as k, lower(p_name) as a, lower(p_type) as b from part), {SIMILAR} select k as p_partkey, round(s, 6) as similarity from o"),
     "geo_zones": (zones, """with g as (select c_custkey, 45 + (c_custkey % 163) / 10.0::double as lon from customer)
         select c_custkey, cast(least(60, greatest(1, floor(lon / 6) + 1)) as int) as zone, cast(case when floor(lon * 200000 / 1000000) between 1 and 60 then floor(lon * 200000 / 1000000) end as int) as easting_zone from g"""),
     "geo_projection": (datum, _datum_sql()),
