@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_folder
+from ..operators import ensembles as E
 from ..operators import fronts as R
 from ..operators import learning as L
 from ..operators import models as M
@@ -88,6 +89,25 @@ def isolation(spark, sf_dir):
     return found.select("id", rounded("anomaly").alias("anomaly"), rounded("inlier").alias("inlier"))
 
 
+def stacking(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumns({"step": F.floor(F.col("quantity") / 5) + F.when(F.col("kind") == "R", 100).otherwise(0), "fold": F.pmod("grp", F.lit(3))})
+    return E.stacked_out_of_fold(rows, ["step", "tax"], "mark", "fold", ["tree", "bayes"]).select("id", "fold", "predicted")
+
+
+def voting(spark, sf_dir):
+    """Three stand-ins for learners' shares of whether an item was returned."""
+    second = {"a": F.col("quantity") / 50, "b": F.col("discount") * 10, "c": F.when(F.col("kind") != "A", F.col("tax") * 12.5)}
+    rows = items(spark, sf_dir).withColumns({c: F.when(p.isNotNull(), F.array(1 - p, p)) for c, p in second.items()})
+    soft = E.vote(rows, list(second), ["kept", "returned"]).withColumnsRenamed({"share": "soft", "predicted": "by_mean"})
+    return E.vote(soft, list(second), ["kept", "returned"], hard=True).select("id", rounded("soft").alias("soft"), rounded("share").alias("hard"), F.col("predicted").alias("by_votes"))
+
+
+def share_calibration(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumn("p", F.array(1 - F.col("quantity") / 50, F.col("quantity") / 50))
+    fitted = E.calibration(rows.withColumn("mark", (F.col("price") > 40_000).cast("int")), "p", "mark", ["0", "1"])
+    return E.calibrated(fitted, rows, "p").select("id", rounded(F.col("calibrated")[1]).alias("share"))
+
+
 _PREDICTED = "case when quantity > 40 then 'N' when quantity > 20 then 'R' else kind end"
 
 
@@ -110,6 +130,13 @@ QUERIES = {
     "cluster_report": (cluster_report, f"""with {_I}, r as (select quantity, discount, case when quantity > 45 then -1 else floor(quantity / 10) end as label from l), g as (select label, count(*) as n, var_pop(quantity) * count(*) + var_pop(discount) * count(*) as w from r group by 1)
         select count(*) filter (where label <> -1) as clusters, cast(sum(n) filter (where label = -1) as bigint) as noise_points, round(sum(n) filter (where label = -1) / sum(n)::double, 6) as noise_share, round(sum(w) filter (where label <> -1), 3) as inertia from g"""),
     "model_out_of_fold": (out_of_fold, f"with {_I} select id, grp % 3 as fold, cast(mark as varchar) as predicted from l"),
+    "model_stacking": (stacking, f"with {_I} select id, grp % 3 as fold, cast(mark as varchar) as predicted from l"),
+    "model_voting": (voting, f"""with {_I}, s as (select id, [quantity / 50, discount * 10, case when kind <> 'A' then tax * 12.5::double end] as s from l), p as (select id, list_filter(s, lambda x: x is not null) as p from s),
+        v as (select id, list_sum(p) / len(p) as y, list_sum(list_transform(p, lambda x: 1 - x)) / len(p) as n, len(list_filter(p, lambda x: x > 1 - x)) / len(p)::double as h from p)
+        select id, round(greatest(y, n), 6) as soft, round(greatest(h, 1 - h), 6) as hard, case when h > 1 - h then 'returned' else 'kept' end as by_votes from v"""),
+    "share_calibration": (share_calibration, f"""with {_I}, g as (select quantity as x, count(*) as n, count(*) filter (where price > 40000) as y from l group by 1), c as (select x, n, y, sum(n) over (order by x) as cn, sum(y) over (order by x) as cy from g),
+        m as (select a.x as lo, b.x as hi, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)::double as mean from c a join c b on a.x <= b.x), f as (select g.x, lo, min(mean) as least from g join m on lo <= g.x and hi >= g.x group by 1, 2), i as (select x, max(least) as share from f group by 1)
+        select id, round(share, 6) as share from l join i on x = quantity"""),
     "model_regression": (regression, f"with {_I} select id, round(3 * quantity + 20 * discount - 10 * tax + 1, 4) as predicted from l"),
     "model_importances": (importances, None),
     "feature_search": (feature_search, "select unnest(['quantity', 'discount', 'tax']) as feature, 1.0::double as r2"),
