@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,25 +11,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _shell(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of a hull's corners, counterclockwise from the least x, then y. Points on an edge are no corners."""
+def _straight(ax: float, ay: float, bx: float, by: float, cx: float, cy: float) -> bool:
+    """Whether c lies not on the left of the line from a to b, judged for the given doubles without rounding."""
+    left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+    # Rounding moves the difference by less than 4e-16 of both products together, and by less than 1e-300 where these underflow; overflow is never above it.
+    if abs(left - right) > 4e-16 * (abs(left) + abs(right)) + 1e-300:
+        return left < right
+    parts = [v.as_integer_ratio() for v in (ax, ay, bx, by, cx, cy)]
+    unit = max(d for _, d in parts)
+    ax, ay, bx, by, cx, cy = (n * (unit // d) for n, d in parts)
+    return (bx - ax) * (cy - ay) <= (by - ay) * (cx - ax)
+
+
+def _lost(ax: float, ay: float, bx: float, by: float, cx: float, cy: float) -> bool:
+    """Whether doubles take the left turn at b, on the way from a to c, for a straight way or a right turn, seen from b to c."""
+    left, right = (cx - bx) * (ay - by), (cy - by) * (ax - bx)
+    return left - right <= 0 and (left != 0 or right != 0)
+
+
+def _shell(x: np.ndarray, y: np.ndarray, rounded: bool = False) -> np.ndarray:
+    """Places of a hull's corners, counterclockwise from the least x, then y. Points on an edge are no corners.
+
+    ``rounded`` leaves out corners that doubles don't tell from points on an edge.
+    """
     order = np.lexsort((y, x))
     keep = np.ones(len(order), bool)
     keep[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
     order = order[keep]
+    step = np.diff(x[order]) != 0
+    order = order[np.append(True, step) | np.append(step, True)] if len(order) else order  # of one x, the least and the greatest y
     if len(order) < 3:
         return order
     xs, ys = x.tolist(), y.tolist()
 
-    def chain(places: list[int]) -> list[int]:
+    def chain(places: list[int], straight: Callable[..., bool]) -> list[int]:
         out: list[int] = []
         for k in places:
-            while len(out) > 1 and (xs[out[-1]] - xs[out[-2]]) * (ys[k] - ys[out[-2]]) - (ys[out[-1]] - ys[out[-2]]) * (xs[k] - xs[out[-2]]) <= 0:
+            while len(out) > 1 and straight(xs[out[-2]], ys[out[-2]], xs[out[-1]], ys[out[-1]], xs[k], ys[k]):
                 out.pop()
             out.append(k)
         return out
 
-    low, high = chain(order.tolist()), chain(order[::-1].tolist())
+    low, high = chain(order.tolist(), _straight), chain(order[::-1].tolist(), _straight)
+    if rounded:
+        low, high = chain(low, _lost), chain(high, _lost)
     return np.array(low[:-1] + high[:-1])
 
 
@@ -56,8 +81,11 @@ def hulls(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", parts:
     task first keeps the corners of its own rows, then ``parts`` tasks for each
     group those of what they get, and only their corners meet: a group that
     holds a third of all rows sends no more than its corners. Groups of one or
-    two places, or of places on one line, have their ends as corners. Points
-    without finite coordinates are left out; null keys are a group of their own.
+    two places, or of places on one line, have their ends as corners. Parts
+    keep each corner that the doubles have without rounding, so corners don't
+    depend on how rows are dealt; of the last ones those stay whose turn is seen
+    in double arithmetic from the corner to the next. Points without finite
+    coordinates are left out; null keys are a group of their own.
     """
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     p = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(finite)
@@ -66,7 +94,7 @@ def hulls(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", parts:
     second = _corners(dealt, keys)
 
     def last(frame: pd.DataFrame) -> pd.DataFrame:
-        out = frame.iloc[_shell(frame["x"].to_numpy(), frame["y"].to_numpy())].copy()
+        out = frame.iloc[_shell(frame["x"].to_numpy(), frame["y"].to_numpy(), rounded=True)].copy()
         out.insert(len(keys), "i", np.arange(len(out)))
         return out
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -126,3 +127,23 @@ def test_hulls(spark):
     probe = spark.createDataFrame([(None, 2.0, 2.0, "in"), (None, 4.0, 2.0, "in"), (None, 4.1, 2.0, "out"), ("c", 9.0, 9.0, "in"), ("zz", 0.0, 0.0, "in"), (None, None, 1.0, "null")], "g string, x double, y double, want string")
     assert all({True: "in", False: "out", None: "null"}[r.inside] == r.want for r in H.inside(probe, hull, ["g"]).collect())
     assert {r.g: (r.vertices, round(r.area, 6), round(r.length, 6)) for r in H.shapes(hull, ["g"]).filter("g is null").collect()} == {None: (4, 16.0, 16.0)}
+
+
+def test_hull_of_nearly_straight_sides(spark):
+    r = random.Random(9)
+    near = [(0.0, 0.0), (445.5, 2.8), (205.8, 983.7), (14.4, 902.4), (8.6, 750.5), (2.8, 598.6)]  # the last but one lies 1e-13 outside of the line between its neighbours
+    lines = [(k / 10, j / 10 + k * 0.3) for k in range(40) for j in (0, 7, 900)]  # sides that are straight but for their rounding
+    wide = [(-1e200, 0.0), (0.0, -1e-200), (1e-200, -1e-200), (1e200, 0.0), (0.0, 1e200)]  # products overflow and underflow
+    groups = {"near": near + [(r.uniform(100, 200), r.uniform(300, 600)) for _ in range(50)], "lines": lines, "wide": [*wide, (0.0, 0.0)]}
+    df = spark.createDataFrame([(k, x, y) for k, ps in groups.items() for x, y in ps], "g string, x double, y double")
+    turn = lambda p, q, s: (q[0] - p[0]) * (s[1] - p[1]) - (q[1] - p[1]) * (s[0] - p[0])
+    seen = []
+    for tasks, parts in ((1, 1), (7, 3), (40, 9)):
+        found = {}
+        for row in sorted(H.hulls(df.repartition(tasks), ["g"], parts=parts).collect(), key=lambda r: r.i):
+            found.setdefault(row.g, []).append((row.x, row.y))
+        assert found["near"] == near and found["wide"] == wide
+        a = [(Fraction(x), Fraction(y)) for x, y in found["lines"]]
+        assert all(turn(p, q, s) > 0 for p, q, s in zip(a, a[1:] + a[:1], a[2:] + a[:2]))
+        seen.append(found)
+    assert seen[0] == seen[1] == seen[2]
