@@ -8,6 +8,8 @@ import pytest
 
 from seamline.operators import density as D
 from seamline.operators import hulls as H
+from seamline.plans.common import points
+from seamline.plans.density import QUERIES
 
 
 def plain_edges(points, neighbours):
@@ -147,3 +149,26 @@ def test_hull_of_nearly_straight_sides(spark):
         assert all(turn(p, q, s) > 0 for p, q, s in zip(a, a[1:] + a[:1], a[2:] + a[:2]))
         seen.append(found)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_hull_shapes_in_fractions(spark):
+    """The query's shapes on sf0.01, one of whose hulls has a corner 1e-13 outside of the line between its neighbours."""
+    sf_dir = "/root/testdata/sf0.01"
+    groups, want = {}, {}
+    for p in points(spark, sf_dir).collect():
+        groups.setdefault(p.kind, set()).add((Fraction(p.x), Fraction(p.y)))
+
+    def chain(ps):
+        out = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    for kind, ps in groups.items():
+        way = chain(sorted(ps)) + chain(sorted(ps, reverse=True))
+        edges = list(zip(way, way[1:] + way[:1]))
+        area, length = sum(a[0] * b[1] - b[0] * a[1] for a, b in edges) / 2, sum(math.hypot(b[0] - a[0], b[1] - a[1]) for a, b in edges)
+        want[kind] = (len(way), pytest.approx(float(area), abs=2e-3), pytest.approx(length, abs=2e-3))
+    assert {r.kind: (r.vertices, r.area, r.length) for r in QUERIES["hull_shapes"][0](spark, sf_dir).collect()} == want
