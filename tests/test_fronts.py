@@ -37,6 +37,12 @@ def test_fronts_by_all_masks(labelled, fewer):
     assert all(abs(d - distance([names.index(c) for c in s])) < 1e-9 for s, d in got)
 
 
+def test_fronts_where_tasks_have_no_rows(labelled):
+    _, _, names, df = labelled
+    few = lambda rows: [(s, round(d, 9)) for s, d in R.feature_fronts(rows, names[:3], "label", generations=3)]
+    assert few(df.coalesce(1).repartitionByRange(8, "label")) == few(df)
+
+
 def test_crowding():
     assert R.crowding(np.array([[0.0, 3.0], [1.0, 2.0], [3.0, 0.0]])).tolist() == [np.inf, 2.0, np.inf]
 
