@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from .spatial import inverse_distance, within
+from .pairs import near_in_tasks
+from .spatial import inverse_distance
 
 PASSES = {"off": 0, "low": 1, "medium": 2, "high": 3}
 
@@ -107,12 +109,20 @@ def smooth_grid(cells: DataFrame, level: str = "medium", x: str = "gx", y: str =
 
 
 def semivariances(points: DataFrame, most: float, lags: int, id: str = "id", x: str = "x", y: str = "y", value: str = "value") -> DataFrame:
-    """(lag, distance, semivariance, pairs) over pairs of points at most ``most`` apart, in ``lags`` equal bins; points without finite numbers are left out."""
-    p = points.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")) & (F.abs(value) < float("inf"))).select(F.col(id).alias("_a"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"))
-    q = p.select(F.col("_a").alias("_b"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_v").alias("_v2"))
-    pairs = within(p, q, most, "_x", "_y", "_x2", "_y2").filter("_a < _b")
-    lag = F.least(F.floor(F.col("distance") / (most / lags)), F.lit(lags - 1)).cast("long")
-    return pairs.groupBy(lag.alias("lag")).agg(F.avg("distance").alias("distance"), (F.avg(F.pow(F.col("_v") - F.col("_v2"), F.lit(2))) / 2).alias("semivariance"), F.count("*").alias("pairs"))
+    """(lag, distance, semivariance, pairs) over pairs of points at most ``most`` apart, in ``lags`` equal bins; points without finite numbers are left out. Ids differ."""
+    p = points.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")) & (F.abs(value) < float("inf"))).select(F.col(id).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(value).cast("double").alias("_v"))
+
+    def sums(t: pa.Table, blocks: Iterator) -> Iterator[pa.RecordBatch]:
+        v, total = t["_v"].to_numpy(), np.zeros((3, lags))
+        for i, j, d, _ in blocks:
+            ok = d <= most
+            i, j, d = i[ok], j[ok], d[ok]
+            lag = np.minimum((d / (most / lags)).astype(np.int64), lags - 1)
+            total += [np.bincount(lag, w, lags) for w in (None, d, (v[i] - v[j]) ** 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lags)), *map(pa.array, total)], ["lag", "n", "d", "g"])
+
+    found = near_in_tasks(p, most, sums, "lag long, n double, d double, g double", "_id", "_x", "_y").filter("n > 0").groupBy("lag").agg(*(F.sum(c).alias(c) for c in "ndg"))
+    return found.select("lag", (F.col("d") / F.col("n")).alias("distance"), (F.col("g") / F.col("n") / 2).alias("semivariance"), F.col("n").cast("long").alias("pairs"))
 
 
 def _shape(model: str, h: np.ndarray, reach: float) -> np.ndarray:
