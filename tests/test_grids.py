@@ -113,3 +113,26 @@ def test_database(spark, tmp_path):
     assert back.count() == 200 and jdbc.read_table(spark, url, "curves", **options).agg(F.max("v")).first()[0] == 49.5
     jdbc.write_table(rows.limit(0), url, "curves", "overwrite", **options)
     assert jdbc.read_table(spark, url, "curves", "id", **options).count() == 0
+
+
+def test_kriging_query_with_many_sites(spark, tmp_path, monkeypatch):
+    # 5,000 sites: within the first radius of 60 lie 56 of them, far more than the eight that are asked for
+    from pyspark.sql import Window as W
+
+    from seamline.plans import common, grids
+
+    spark.range(5000).selectExpr("id as s_suppkey", "double(id * 31 % 997) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(40).selectExpr("id * 13 as c_custkey", "'c' as c_name", "1.0d as c_acctbal", "'k' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    radii, within = [], P.within
+    monkeypatch.setattr(P, "within", lambda a, b, radius, *more: radii.append(radius) or within(a, b, radius, *more))
+    got = {r.id: (r.value, r.variance, r.neighbours) for r in grids.kriging(spark, str(tmp_path)).collect()}
+    assert radii[0] < 60
+    s = common.sites(spark, str(tmp_path))
+    a, b = s, s.select(*(F.col(c).alias(f"o{c}") for c in s.columns))
+    d = F.sqrt((F.col("sx") - F.col("osx")) ** 2 + (F.col("sy") - F.col("osy")) ** 2)
+    lag = F.least(F.floor(d / 30), F.lit(9)).cast("long").alias("lag")
+    bins = a.crossJoin(b).filter((F.col("sid") < F.col("osid")) & (d <= 300)).groupBy(lag).agg(F.avg(d).alias("distance"), (F.avg((F.col("sv") - F.col("osv")) ** 2) / 2).alias("semivariance"), F.count("*").alias("pairs"))
+    far = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
+    near = common.points(spark, str(tmp_path)).select("id", "x", "y").crossJoin(s).withColumn("distance", far).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("distance", "sid"))).filter("r <= 8")
+    want = {r.id: r for r in G.kriged(near, "id", "sv", *G.fitted_variogram(bins)).collect()}
+    assert len(got) == 40 and all(abs(v[0] - want[i].value) < 0.01 and abs(v[1] - want[i].variance) < 0.1 + 1e-6 * want[i].variance and v[2] == 8 for i, v in got.items())
