@@ -106,6 +106,24 @@ def test_clusters_by_all_pairs(spark, monkeypatch, seed, n, least, neighbours, s
     assert len(set(want.values())) > 1
 
 
+def test_tree_of_a_crowd(spark, monkeypatch):
+    # within the radius that is asked for lie 11,000 pairs, more than are ordered at the driver
+    monkeypatch.setattr(D, "SMALL", 1500)
+    forests, ordered = [], D._forest
+    monkeypatch.setattr(D, "_forest", lambda graph: forests.append(graph.count()) or ordered(graph))
+    r = random.Random(9)
+    points = {i: (r.uniform(0, 10), r.uniform(0, 10)) for i in range(150)}
+    edges = plain_edges(points, 3)[1]
+    cores = D.checkpointed(D.core_distances(spark.createDataFrame([(i, *p) for i, p in points.items()], "id long, x double, y double"), 3, 30.0))
+    got = sorted((round(r.w, 9), r.a, r.b) for r in D.spanning_tree(cores, 30.0).collect())
+    assert got == sorted((round(w, 9), a, b) for w, a, b in edges)
+    assert max(forests) <= 1500
+    fallen, ups = D.hierarchy(cores, spark.createDataFrame([(a, b, w) for w, a, b in edges], "a long, b long, w double"), 4)
+    own = D.checkpointed(D.labels(fallen, ups))
+    monkeypatch.setattr(D, "SMALL", 0)  # in levels
+    assert sorted(own.collect()) == sorted(D.labels(fallen, ups).collect()) and own.count()
+
+
 def test_few_points(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "id long, x double, y double")
     assert sorted((r.id, r.core, r.label) for r in D.density_clusters(df, 3, 5, 1.0).collect()) == [(1, 1.0, None), (2, 1.0, None)]
