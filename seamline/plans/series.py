@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import series as S
+from ..operators import similarity as C
 from .common import SAMPLES, SERIES, rounded, series, table, traces
 
 KEY, ORDER = ["user_id"], ["i"]
@@ -144,14 +142,9 @@ def depth_slice(spark, sf_dir):
 
 
 def trace_similarity(spark, sf_dir):
-    """Median cosine and Pearson similarity of each test trace (the stated set whose id is divisible by 20) to all other traces, test traces in blocks of about 1,000."""
+    """Median cosine and Pearson similarity of each test trace (the stated set whose id is divisible by 20) to all other traces."""
     t = traces(spark, sf_dir)
-    tests = t.filter("vec_id % 20 = 0").select("vec_id", F.col("a").alias("b"))
-    blocks = -(-tests.count() // 1000)
-    others = t.select(F.col("vec_id").alias("other"), "a")
-    parts = [others.join(F.broadcast(tests.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k)), F.col("other") != F.col("vec_id")) for k in range(max(blocks, 1))]
-    scored = reduce(DataFrame.unionByName, parts).select("vec_id", A.cosine(F.col("a"), F.col("b")).alias("c"), A.pearson(F.col("a"), F.col("b")).alias("r"))
-    return scored.groupBy("vec_id").agg(rounded(F.percentile("c", F.lit(0.5))).alias("cosine"), rounded(F.percentile("r", F.lit(0.5))).alias("pearson"))
+    return C.median_similarities(t.filter("vec_id % 20 = 0"), t, "vec_id", "a").select(F.col("id").alias("vec_id"), rounded("cosine").alias("cosine"), rounded("pearson").alias("pearson"))
 
 
 def previous_trace_correlation(spark, sf_dir):
